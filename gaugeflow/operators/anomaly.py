@@ -112,6 +112,8 @@ def score_isolation_forest(df: DataFrame, nodes: DataFrame, features: Sequence[s
     """
     features = list(features)
     model = nodes.orderBy("tree_id", "node_id").toPandas()
+    if model.empty:
+        raise ValueError("the forest has no nodes: it was fitted on no rows")
     roots, child, tables = [], 0, []
     for _, tree in model.groupby("tree_id", sort=True):
         roots.append(child)

@@ -59,7 +59,7 @@ def forest_leaves(model, spark) -> DataFrame:
     nodes = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree_id"), "nodeData.id", "nodeData.leftChild",
         "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("weight"),
         (F.col("nodeData.impurityStats")[1]).alias("positive"))
 

@@ -13,6 +13,7 @@ from gaugeflow.functions.expr import (clip, first_largest, hours_between, lookup
                                       threshold_component)
 from gaugeflow.operators.intervals import match_intervals
 from gaugeflow.operators.labels import lookback_windows
+from gaugeflow.session import local_table
 
 SENSOR_COLUMNS = (
     "anomaly_score", "anomaly_percentile", "anomaly_flag", "oil_temperature_mean",
@@ -115,8 +116,8 @@ def cost_rollup(episodes: DataFrame, scenarios: Sequence[CostScenario] = COST_SC
                 failures: int = 1) -> DataFrame:
     """Scenario costs; inspections are paid per alert episode where they apply."""
     spark = episodes.sparkSession
-    table = spark.createDataFrame(
-        [(s.name, s.downtime_hours * failures, s.downtime_hours * s.hourly_rate * failures,
+    table = local_table(
+        spark, [(s.name, s.downtime_hours * failures, s.downtime_hours * s.hourly_rate * failures,
           s.repair_cost * failures, s.inspection_cost) for s in scenarios],
         "scenario string, downtime_hours double, downtime_cost double, repair_cost double, "
         "per_episode double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,9 +20,8 @@ BUCKET_SECONDS = 6 * 3600
 def fits_broadcast(intervals: DataFrame, keys: Sequence[str] = (ASSET,),
                    limit: int = BROADCAST_ROWS, per_key: int = BROADCAST_PER_ASSET) -> bool:
     """Whether the table is small enough to broadcast; reads at most ``limit + 1`` rows."""
-    size = (intervals.limit(limit + 1).groupBy(*keys).count()
-            .agg(F.sum("count").alias("rows"), F.max("count").alias("largest")).first())
-    return (size["rows"] or 0) <= limit and (size["largest"] or 0) <= per_key
+    seen = Counter(intervals.select(*keys).limit(limit + 1).collect())
+    return seen.total() <= limit and max(seen.values(), default=0) <= per_key
 
 
 def match_intervals(rows: DataFrame, intervals: DataFrame, low: str, high: str, *,

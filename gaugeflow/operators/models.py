@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeflow.config import ASSET, MINUTE
+from gaugeflow.session import local_table
 from gaugeflow.operators.prep import (fit_medians, fit_scaler, impute, standardize,
                                       with_class_weight)
 
@@ -72,33 +73,26 @@ class FittedModel:
     features: tuple[str, ...]
     scaled: bool
     model: Model
-    medians: DataFrame
-    scaler: DataFrame
+    medians: dict
+    scaler: dict
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        ready = impute(df, self.medians, self.features)
-        return standardize(ready, self.scaler, self.features) if self.scaled else ready
-
-
-def _literal_row(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Fitted constants, one row, detached from the plan that computed them."""
-    return spark.createDataFrame(df.collect(), df.schema)
+        ready = impute(df, self.medians)
+        return standardize(ready, self.scaler) if self.scaled else ready
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def fit_preparation(train: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def fit_preparation(train: DataFrame, features: Sequence[str]) -> tuple[dict, dict]:
     """Training medians, then mean and deviation of the imputed training rows."""
-    spark = train.sparkSession
-    medians = _literal_row(spark, fit_medians(train, features))
-    scaler = _literal_row(spark, fit_scaler(impute(train, medians, features), features))
-    return medians, scaler
+    medians = fit_medians(train, features)
+    return medians, fit_scaler(impute(train, medians), features)
 
 
 def fit_model(train: DataFrame, features: Sequence[str], horizon: str, target: str,
-              spec: ModelSpec, prepared: tuple[DataFrame, DataFrame] | None = None) -> FittedModel:
+              spec: ModelSpec, prepared: tuple[dict, dict] | None = None) -> FittedModel:
     """Fit one classifier on the training split.
 
     Medians and scaling are fitted on the training rows only.  The assembled
@@ -106,9 +100,9 @@ def fit_model(train: DataFrame, features: Sequence[str], horizon: str, target: s
     """
     features = tuple(features)
     medians, scaler = prepared or fit_preparation(train, features)
-    ready = impute(train.select(*features, target), medians, features)
+    ready = impute(train.select(*features, target), medians)
     if spec.scaled:
-        ready = standardize(ready, scaler, features)
+        ready = standardize(ready, scaler)
     rows = with_class_weight(ready, target, positive_only=spec.positive_weight_only)
     rows = assemble(rows, features).select(
         "features", F.col(target).cast("double").alias("label"), "class_weight")
@@ -155,26 +149,30 @@ def train_and_score(rows: DataFrame, features: Sequence[str], targets: dict[str,
     return fitted, predictions
 
 
-def save_model(fitted: FittedModel, path: str, threshold: float | None = None,
-               train_end: datetime | None = None,
+def save_model(spark: SparkSession, fitted: FittedModel, path: str,
+               threshold: float | None = None, train_end: datetime | None = None,
                calibration_end: datetime | None = None) -> None:
     """Write the classifier as Spark ML persistence and its constants as Parquet."""
-    spark = fitted.medians.sparkSession
     PipelineModel([fitted.model]).write().overwrite().save(f"{path}/model")
-    fitted.medians.write.mode("overwrite").parquet(f"{path}/medians")
-    fitted.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-    info = [(fitted.name, fitted.horizon, fitted.target, list(fitted.features), fitted.scaled,
-             threshold, train_end, calibration_end)]
-    (spark.createDataFrame(info, "name string, horizon string, target string, "
-                                 "features array<string>, scaled boolean, threshold double, "
-                                 "train_end timestamp_ntz, calibration_end timestamp_ntz")
-     .write.mode("overwrite").parquet(f"{path}/info"))
+    info = [(fitted.name, fitted.horizon, fitted.target, fitted.scaled, threshold, train_end,
+             calibration_end)]
+    constants = [(i, c, fitted.medians[c], *fitted.scaler[c])
+                 for i, c in enumerate(fitted.features)]
+    for name, rows, schema in (
+            ("info", info, "name string, horizon string, target string, scaled boolean, "
+                           "threshold double, train_end timestamp_ntz, "
+                           "calibration_end timestamp_ntz"),
+            ("features", constants, "position int, feature string, median double, mean double, "
+                                    "std double")):
+        local_table(spark, rows, schema).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[FittedModel, float | None]:
     info = spark.read.parquet(f"{path}/info").first()
+    rows = spark.read.parquet(f"{path}/features").orderBy("position").collect()
     fitted = FittedModel(
-        info["name"], info["horizon"], info["target"], tuple(info["features"]), info["scaled"],
-        PipelineModel.load(f"{path}/model").stages[0],
-        spark.read.parquet(f"{path}/medians"), spark.read.parquet(f"{path}/scaler"))
+        info["name"], info["horizon"], info["target"], tuple(r["feature"] for r in rows),
+        info["scaled"], PipelineModel.load(f"{path}/model").stages[0],
+        {r["feature"]: r["median"] for r in rows},
+        {r["feature"]: (r["mean"], r["std"]) for r in rows})
     return fitted, info["threshold"]

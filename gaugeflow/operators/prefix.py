@@ -58,7 +58,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     A mergeable sketch first brackets every wanted rank.  In the second pass all
     values below a bracket collapse into one counted row, those above it are
-    dropped, and only the values inside, about ``4 / accuracy`` of the rows, are
+    dropped, and only the values inside, about ``8 / accuracy`` of the rows, are
     counted one by one.  NULLs are ignored.
 
     ``few_keys`` says that the number of keys is bounded by a list in the
@@ -70,17 +70,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         df, few_keys = df.withColumn("_all", F.lit(0)), True
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull())
-    slack = 2.0 / accuracy
+    # at least twice the sketch's own error plus the rounding of ranks
+    slack = 4.0 / accuracy
     lows = [max(0.0, p - slack) for p in probs]
     highs = [min(1.0, p + slack) for p in probs]
     brackets = data.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", lows + highs, accuracy).alias("_b"))
+    # a group of at most ``accuracy`` values is counted whole
+    few = F.col("_n") <= accuracy
     brackets = brackets.select(*keys, "_n", F.array(*[
         F.struct(
             F.lit(i).alias("i"), F.lit(p).alias("p"),
-            (F.col("_min") if lows[i] <= 0 else F.col("_b")[i]).alias("lo"),
-            (F.col("_max") if highs[i] >= 1 else F.col("_b")[len(probs) + i]).alias("hi"))
+            (F.col("_min") if lows[i] <= 0 else
+             F.when(few, F.col("_min")).otherwise(F.col("_b")[i])).alias("lo"),
+            (F.col("_max") if highs[i] >= 1 else
+             F.when(few, F.col("_max")).otherwise(F.col("_b")[len(probs) + i])).alias("hi"))
         for i, p in enumerate(probs)]).alias("_q"))
     brackets_side = F.broadcast(brackets) if few_keys else brackets
     v = F.col("_v")

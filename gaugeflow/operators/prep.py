@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.config import MINUTE, TARGETS
-from gaugeflow.functions.expr import finite, flag
+from gaugeflow.functions.expr import finite
 from gaugeflow.operators.prefix import exact_quantiles
 
 
@@ -46,41 +46,37 @@ def long_values(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
             .filter(F.col("value").isNotNull()))
 
 
-def fit_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Exact median of each feature over the training rows, as one row.
+def fit_medians(train: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
+    """Exact median of each feature over the training rows.
 
-    A feature without any value has a NULL median.
+    Like any estimator's fit this runs at once and keeps one number per feature;
+    a feature without any value has no median.
     """
     medians = exact_quantiles(long_values(train, features), ["feature"], "value", [0.5],
                               few_keys=True)
-    return medians.agg(*[F.max(F.when(F.col("feature") == c, F.col("quantiles")[0])).alias(c)
-                         for c in features])
+    found = {r["feature"]: r["quantiles"][0] for r in medians.collect()}
+    return {c: found.get(c) for c in features}
 
 
-def impute(df: DataFrame, medians: DataFrame, features: Sequence[str]) -> DataFrame:
+def impute(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:
     """Missing, NaN and infinite values become the fitted median."""
-    fitted = medians.select(F.struct(*features).alias("m")).scalar()
-    return (df.withColumn("_m", fitted)
-            .withColumns({c: F.coalesce(finite(c), F.col("_m")[c]) for c in features})
-            .drop("_m"))
+    return df.withColumns({c: F.coalesce(finite(c), F.lit(m).cast("double"))
+                           for c, m in medians.items()})
 
 
-def fit_scaler(train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Mean and population standard deviation of each feature, as one row."""
-    return train.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
-                       for c in features])
+def fit_scaler(train: DataFrame, features: Sequence[str]
+               ) -> dict[str, tuple[float | None, float | None]]:
+    """Mean and population standard deviation of each feature."""
+    row = train.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in features]).first()
+    return {c: tuple(row[c]) for c in features}
 
 
-def standardize(df: DataFrame, scaler: DataFrame, features: Sequence[str]) -> DataFrame:
+def standardize(df: DataFrame,
+                scaler: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
     """(x - mean) / std; a constant feature is only centred."""
-    fitted = scaler.select(F.struct(*features).alias("s")).scalar()
-
-    def scaled(c):
-        std = F.col("_s")[c]["std"]
-        return (F.col(c) - F.col("_s")[c]["mean"]) / F.when(std == 0, F.lit(1.0)).otherwise(std)
-
-    return (df.withColumn("_s", fitted)
-            .withColumns({c: scaled(c) for c in features}).drop("_s"))
+    return df.withColumns({
+        c: (F.col(c) - F.lit(mean).cast("double")) / F.lit(std or 1.0)
+        for c, (mean, std) in scaler.items()})
 
 
 def class_weights(train: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
@@ -109,7 +105,3 @@ def with_class_weight(train: DataFrame, target: str, name: str = "class_weight",
         weight = F.when(F.col(target) == 1, n / (pos * 2.0)).otherwise(n / ((n - pos) * 2.0))
     return train.withColumn("_c", counts.scalar()).withColumn(name, weight).drop("_c")
 
-
-__all__ = ["modelling_rows", "scoring_rows", "healthy", "chrono_split", "long_values",
-           "fit_medians", "impute", "fit_scaler", "standardize", "class_weights",
-           "with_class_weight", "flag"]

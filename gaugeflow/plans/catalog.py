@@ -257,15 +257,14 @@ def healthy_baseline(s):
 @query
 def median_impute(s):
     medians = prep.fit_medians(s.scoring.filter(s.healthy), ANOMALY_FEATURES)
-    return prep.impute(s.scoring, medians, ANOMALY_FEATURES).select(*KEYS, *ANOMALY_FEATURES)
+    return prep.impute(s.scoring, medians).select(*KEYS, *ANOMALY_FEATURES)
 
 
 def _standardized(s):
     baseline = s.scoring.filter(s.healthy)
     medians = prep.fit_medians(baseline, ANOMALY_FEATURES)
-    scaler = prep.fit_scaler(prep.impute(baseline, medians, ANOMALY_FEATURES), ANOMALY_FEATURES)
-    return prep.standardize(prep.impute(s.scoring, medians, ANOMALY_FEATURES), scaler,
-                            ANOMALY_FEATURES)
+    scaler = prep.fit_scaler(prep.impute(baseline, medians), ANOMALY_FEATURES)
+    return prep.standardize(prep.impute(s.scoring, medians), scaler)
 
 
 @query
@@ -417,7 +416,7 @@ def _fit_and_score(s, spec, horizon="24h"):
 
 @query
 def fit_logistic(s):
-    return _fit_and_score(s, models.LOGISTIC.with_params(maxIter=100))
+    return _fit_and_score(s, models.LOGISTIC.with_params(maxIter=30))
 
 
 @query
@@ -438,7 +437,7 @@ def fit_gbt_leafwise(s):
 @query
 def score_models(s):
     """Two classifiers over all splits, calibrated and applied to the test split."""
-    specs = [models.LOGISTIC.with_params(maxIter=100),
+    specs = [models.LOGISTIC.with_params(maxIter=30),
              models.RANDOM_FOREST.with_params(**SMALL_FOREST)]
     _, predictions = models.train_and_score(s.split, FAILURE_FEATURES,
                                             {"24h": TARGETS["24h"]}, specs)
@@ -449,7 +448,7 @@ def score_models(s):
 @query
 def model_roundtrip(s):
     path = shared_folder(s.spark, "model")
-    models.save_model(_fit(s, models.LOGISTIC.with_params(maxIter=100)), path, 0.5,
+    models.save_model(s.spark, _fit(s, models.LOGISTIC.with_params(maxIter=30)), path, 0.5,
                       s.calendar.train_end, s.calendar.calibration_end)
     fitted, threshold = models.load_model(s.spark, path)
     return models.score_model(s.part("test"), fitted).withColumn(
@@ -483,10 +482,8 @@ def positive_distribution(s):
 def _linear(s):
     test = s.part("test")
     medians = prep.fit_medians(s.part("train"), ANOMALY_FEATURES)
-    filled_train = prep.impute(s.part("train"), medians, ANOMALY_FEATURES)
-    scaler = prep.fit_scaler(filled_train, ANOMALY_FEATURES)
-    scaled = prep.standardize(prep.impute(test, medians, ANOMALY_FEATURES), scaler,
-                              ANOMALY_FEATURES)
+    scaler = prep.fit_scaler(prep.impute(s.part("train"), medians), ANOMALY_FEATURES)
+    scaled = prep.standardize(prep.impute(test, medians), scaler)
     window = attribution.explanation_window(
         scaled.select(*KEYS, *ANOMALY_FEATURES), s.focus, 24)
     return attribution.linear_attribution(window, scaled, LINEAR_WEIGHTS, KEYS)

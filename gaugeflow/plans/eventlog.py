@@ -16,7 +16,7 @@ from gaugeflow.config import ASSET, MINUTE, TARGETS, Calendar
 from gaugeflow.functions.expr import flag, micros
 from gaugeflow.operators import (aggregate, decisions, episodes, labels, metrics, monitoring,
                                  prep, rolling)
-from gaugeflow.session import use_utc
+from gaugeflow.session import settle, use_utc
 from gaugeflow.sources.failures import failure_table
 from gaugeflow.sources.telemetry import readings_from_events
 
@@ -45,10 +45,10 @@ def fleet_failures() -> list[tuple]:
             for asset in range(ASSETS) for event, kind, part, start, end in TEMPLATE]
 
 
-def steady(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Fractional columns rounded, off the ties that short decimals fall on."""
+def steady(df: DataFrame) -> DataFrame:
+    """Fractional columns to six digits, cut off the ties that short decimals fall on."""
     return df.select(*[
-        F.round(F.col(f.name) + F.lit(1e-9), digits).alias(f.name)
+        (F.floor(F.col(f.name) * 1e6 + 0.501) / 1e6).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields])
 
@@ -136,8 +136,9 @@ class EventLogStudy:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        return metrics.calibrate_threshold(
-            self.predictions.filter(F.col("split") == "calibration"), quantile=0.9)
+        """Fitted once: one row per horizon and model."""
+        return settle(metrics.calibrate_threshold(
+            self.predictions.filter(F.col("split") == "calibration"), quantile=0.9))
 
     @cached_property
     def test_predictions(self) -> DataFrame:

@@ -16,7 +16,7 @@ from gaugeflow.config import (ANOMALY_FEATURES, ASSET, DRIFT_FEATURES, EARLY_MOD
                               FAILURE_FEATURES, MINUTE, STUDY_2022, TARGETS, Calendar)
 from gaugeflow.operators import (aggregate, anomaly, decisions, episodes, labels, metrics,
                                  models, monitoring, prep, rolling)
-from gaugeflow.session import use_utc
+from gaugeflow.session import local_table, use_utc
 from gaugeflow.sources import sinks
 
 HORIZONS = {"6h": 6.0, "12h": 12.0, "24h": 24.0}
@@ -63,12 +63,14 @@ def build_anomalies(layers: Layers, calendar: Calendar = STUDY_2022,
     rows = prep.scoring_rows(table, calendar.min_coverage)
     is_healthy = prep.healthy(calendar.baseline_end)
     baseline = rows.filter(is_healthy)
-    medians = layers.put("anomaly_model/medians", prep.fit_medians(baseline, features))
-    filled = prep.impute(baseline, medians, features)
-    scaler = layers.put("anomaly_model/scaler", prep.fit_scaler(filled, features))
+    medians = prep.fit_medians(baseline, features)
+    scaler = prep.fit_scaler(prep.impute(baseline, medians), features)
+    layers.put("anomaly_model/features", local_table(
+        layers.spark, [(c, medians[c], *scaler[c]) for c in features],
+        "feature string, median double, mean double, std double"))
+    ready = prep.standardize(prep.impute(rows, medians), scaler)
     nodes = layers.put("anomaly_model/nodes", anomaly.fit_isolation_forest(
-        prep.standardize(filled, scaler, features), features, trees=trees, sample=sample))
-    ready = prep.standardize(prep.impute(rows, medians, features), scaler, features)
+        ready.filter(is_healthy), features, trees=trees, sample=sample))
     scored = layers.put("anomaly_raw_scores", anomaly.score_isolation_forest(
         ready, nodes, features).select(
         ASSET, MINUTE, "anomaly_score", is_healthy.cast("int").alias("is_healthy")), MINUTE)
@@ -103,7 +105,7 @@ def build_predictions(layers: Layers, calendar: Calendar = STUDY_2022,
     limits = {(r["horizon"], r["model"]): r["alert_threshold"] for r in thresholds.collect()}
     for f in fitted:
         slug = f.name.lower().replace(" ", "-")
-        models.save_model(f, layers.path(f"models/{f.horizon}/{slug}"),
+        models.save_model(layers.spark, f, layers.path(f"models/{f.horizon}/{slug}"),
                           limits.get((f.horizon, f.name)), calendar.train_end,
                           calendar.calibration_end)
     layers.report("model_comparison", metrics.model_comparison(

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from gaugeflow.config import ASSET
+from gaugeflow.session import local_table
 
 FAILURE_SCHEMA = T.StructType([
     T.StructField(ASSET, T.IntegerType(), False),
@@ -28,4 +29,4 @@ STUDY_FAILURES = (
 
 
 def failure_table(spark: SparkSession, rows: Iterable[tuple] = STUDY_FAILURES) -> DataFrame:
-    return spark.createDataFrame(list(rows), FAILURE_SCHEMA)
+    return local_table(spark, list(rows), FAILURE_SCHEMA)
