@@ -29,10 +29,32 @@ LINEAR_WEIGHTS = {c: (1.0 if i % 2 == 0 else -1.0) * (i + 1) / 10.0
                   for i, c in enumerate(ANOMALY_FEATURES)}
 
 
-def query(f: Callable[[EventLogStudy], DataFrame]) -> Callable:
+# columns each family of queries takes from the layer it builds on
+TARGET_COLUMNS = tuple(TARGETS.values())
+HEALTH_COLUMNS = ("failure_active", "failure_next_24h", "post_failure_24h")
+MODEL_ROWS = ("modelling", (*FAILURE_FEATURES, *TARGET_COLUMNS))
+LINEAR_ROWS = ("modelling", (*ANOMALY_FEATURES, *TARGET_COLUMNS))
+DECISION_ROWS = ("modelling", (*decisions.SENSOR_COLUMNS, *TARGET_COLUMNS))
+PREDICTION_ROWS = ("modelling", TARGET_COLUMNS)
+DRIFT_ROWS = ("modelling", (*DRIFT_FEATURES, "failure_next_24h"))
+WEEKLY_ROWS = ("modelling", ("anomaly_score", "anomaly_percentile", *TARGET_COLUMNS))
+SENSOR_ROWS = ("scoring", (*ANOMALY_FEATURES, *HEALTH_COLUMNS))
+SCORE_ROWS = ("scoring", ("anomaly_score", "anomaly_percentile", "anomaly_flag",
+                          "eligible_for_model", *HEALTH_COLUMNS, *TARGET_COLUMNS))
+
+
+def query(f=None, *, rows: tuple[str, tuple[str, ...]] | None = None):
+    """Register a query; ``rows`` names a layer to write out first, and its columns."""
+    if f is None:
+        return lambda g: query(g, rows=rows)
+
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return steady(f(EventLogStudy(spark, sf_dir)))
+        study = EventLogStudy(spark, sf_dir)
+        if rows:
+            layer, columns = rows
+            study = study.on_table(columns, layer)
+        return steady(f(study))
 
     QUERIES[f.__name__] = run
     return f
@@ -254,7 +276,7 @@ def healthy_baseline(s):
     return s.scoring.filter(s.healthy).select(*KEYS, *ANOMALY_FEATURES)
 
 
-@query
+@query(rows=SENSOR_ROWS)
 def median_impute(s):
     medians = prep.fit_medians(s.scoring.filter(s.healthy), ANOMALY_FEATURES)
     return prep.impute(s.scoring, medians).select(*KEYS, *ANOMALY_FEATURES)
@@ -267,7 +289,7 @@ def _standardized(s):
     return prep.standardize(prep.impute(s.scoring, medians), scaler)
 
 
-@query
+@query(rows=SENSOR_ROWS)
 def standardize(s):
     return _standardized(s).select(*KEYS, *ANOMALY_FEATURES)
 
@@ -278,31 +300,31 @@ def _forest(s):
     return ready, nodes
 
 
-@query
+@query(rows=SENSOR_ROWS)
 def isolation_forest_fit(s):
     return _forest(s)[1]
 
 
-@query
+@query(rows=SENSOR_ROWS)
 def isolation_forest_score(s):
     ready, nodes = _forest(s)
     return anomaly.score_isolation_forest(ready, nodes, ANOMALY_FEATURES).select(
         *KEYS, "is_healthy", "anomaly_score")
 
 
-@query
+@query(rows=SCORE_ROWS)
 def score_threshold(s):
     return anomaly.score_threshold(s.scoring.filter(s.healthy))
 
 
-@query
+@query(rows=SCORE_ROWS)
 def anomaly_flag(s):
     rows = s.scoring.select(*KEYS, "anomaly_score", s.healthy.alias("is_healthy"))
     threshold = anomaly.score_threshold(rows.filter("is_healthy"))
     return anomaly.flag_anomalies(rows.drop("is_healthy"), threshold)
 
 
-@query
+@query(rows=SCORE_ROWS)
 def baseline_percentile(s):
     rows = s.scoring.select(*KEYS, "anomaly_score", s.healthy.cast("int").alias("is_healthy"))
     return anomaly.baseline_percentile(rows, "is_healthy")
@@ -319,17 +341,17 @@ def attach_anomaly_scores(s):
     return anomaly.attach_scores(s.features.select(*KEYS, "coverage_6h"), scores)
 
 
-@query
+@query(rows=SCORE_ROWS)
 def anomaly_by_period(s):
     return anomaly.anomaly_by_period(s.scoring)
 
 
-@query
+@query(rows=SCORE_ROWS)
 def anomaly_by_horizon(s):
     return anomaly.anomaly_by_horizon(s.scoring)
 
 
-@query
+@query(rows=SCORE_ROWS)
 def anomaly_by_event(s):
     return anomaly.anomaly_by_event(s.scoring, s.failures)
 
@@ -351,48 +373,48 @@ def class_weights(s):
     return prep.class_weights(s.part("train"))
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def prediction_union(s):
     frames = [s.test_predictions.filter(F.col("model") == m)
               for m in ("Logistic Regression", "Random Forest")]
     return metrics.union_predictions(frames)
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def calibrate_threshold(s):
     return s.thresholds
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def apply_threshold(s):
     return s.alerts
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def pr_auc(s):
     return metrics.pr_auc(s.test_predictions)
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def roc_auc(s):
     return metrics.roc_auc(s.test_predictions)
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def classification_metrics(s):
     return metrics.classification_metrics(s.alerts).select(
         "horizon", "model", "test_rows", "test_positive", "alerts", "hits", "precision",
         "recall", "f1")
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def alert_rates(s):
     return metrics.classification_metrics(s.alerts).select(
         "horizon", "model", "alert_rate_percent", "false_alert_rate_percent",
         "failure_window_alert_percent")
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def first_warning(s):
     return metrics.first_warning(s.alerts, s.focus, HORIZONS)
 
@@ -401,7 +423,7 @@ def _comparison(s):
     return metrics.model_comparison(s.alerts, s.focus, s.part("train"), TARGETS, HORIZONS)
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def model_comparison(s):
     return _comparison(s)
 
@@ -414,27 +436,27 @@ def _fit_and_score(s, spec, horizon="24h"):
     return models.score_model(s.part("test"), _fit(s, spec, horizon))
 
 
-@query
+@query(rows=MODEL_ROWS)
 def fit_logistic(s):
     return _fit_and_score(s, models.LOGISTIC.with_params(maxIter=30))
 
 
-@query
+@query(rows=MODEL_ROWS)
 def fit_random_forest(s):
     return _fit_and_score(s, models.RANDOM_FOREST.with_params(**SMALL_FOREST), "6h")
 
 
-@query
+@query(rows=MODEL_ROWS)
 def fit_gbt_depthwise(s):
     return _fit_and_score(s, models.GBT_DEPTHWISE.with_params(**SMALL_BOOST))
 
 
-@query
+@query(rows=MODEL_ROWS)
 def fit_gbt_leafwise(s):
     return _fit_and_score(s, models.GBT_LEAFWISE.with_params(**SMALL_BOOST))
 
 
-@query
+@query(rows=MODEL_ROWS)
 def score_models(s):
     """Two classifiers over all splits, calibrated and applied to the test split."""
     specs = [models.LOGISTIC.with_params(maxIter=30),
@@ -445,7 +467,7 @@ def score_models(s):
     return metrics.apply_threshold(predictions.filter(F.col("split") == "test"), thresholds)
 
 
-@query
+@query(rows=MODEL_ROWS)
 def model_roundtrip(s):
     path = shared_folder(s.spark, "model")
     models.save_model(s.spark, _fit(s, models.LOGISTIC.with_params(maxIter=30)), path, 0.5,
@@ -467,7 +489,7 @@ def largest_gap(s):
     return validation.largest_gap(s.modelling, s.failures, HORIZONS)
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def prediction_behaviour(s):
     return validation.prediction_behaviour(s.alerts, s.focus, HORIZONS)
 
@@ -495,34 +517,34 @@ def _early_alerts(s):
     return attribution.first_alerts(early, s.focus, 24)
 
 
-@query
+@query(rows=LINEAR_ROWS)
 def linear_attribution(s):
     return _linear(s)
 
 
-@query
+@query(rows=LINEAR_ROWS)
 def attribution_importance(s):
     return attribution.importance(_linear(s))
 
 
-@query
+@query(rows=LINEAR_ROWS)
 def top_attributions(s):
     return attribution.top_features(steady(attribution.importance(_linear(s))
                                            .withColumnRenamed("mean_abs", "attribution")), 12)
 
 
-@query
+@query(rows=LINEAR_ROWS)
 def first_alert_explanation(s):
     return attribution.first_alert_explanation(_linear(s), _early_alerts(s))
 
 
-@query
+@query(rows=LINEAR_ROWS)
 def top_drivers(s):
     explained = steady(attribution.first_alert_explanation(_linear(s), _early_alerts(s)))
     return attribution.top_drivers(explained)
 
 
-@query
+@query(rows=MODEL_ROWS)
 def tree_attribution(s):
     fitted = _fit(s, models.RANDOM_FOREST.with_params(**SMALL_FOREST))
     leaves = attribution.forest_leaves(fitted.model, s.spark)
@@ -534,64 +556,64 @@ def tree_attribution(s):
 
 # --- decisions ----------------------------------------------------------------
 
-@query
+@query(rows=DECISION_ROWS)
 def fuse_predictions(s):
     return s.fused
 
 
-@query
+@query(rows=DECISION_ROWS)
 def threshold_normalize(s):
     return decisions.add_components(s.fused).select(
         *KEYS, "early_component", "near_component", "anomaly_component")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def priority_score(s):
     return s.decisions.select(*KEYS, "maintenance_priority_score")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def risk_level(s):
     return s.decisions.select(*KEYS, "risk_level")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def recommended_action(s):
     return s.decisions.select(*KEYS, "risk_level", "recommended_action")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def primary_signal(s):
     return s.decisions.select(*KEYS, "primary_warning_signal")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def risk_distribution(s):
     return decisions.risk_distribution(s.decisions)
 
 
-@query
+@query(rows=DECISION_ROWS)
 def alert_episodes(s):
     return episodes.alert_episodes(episodes.alert_rows(s.decisions))
 
 
-@query
+@query(rows=DECISION_ROWS)
 def episode_failure_related(s):
     return s.episodes.select(ASSET, "alert_episode_id", "episode_start", "episode_end",
                              "failure_related")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def episode_summary(s):
     return episodes.episode_summary(s.episodes)
 
 
-@query
+@query(rows=DECISION_ROWS)
 def first_useful_warning(s):
     return decisions.first_useful_warning(s.decisions, s.focus)
 
 
-@query
+@query(rows=DECISION_ROWS)
 def cost_rollup(s):
     return decisions.cost_rollup(s.episodes)
 
@@ -610,27 +632,27 @@ def drift_moments(s):
     return monitoring.drift_moments(s.drift)
 
 
-@query
+@query(rows=DRIFT_ROWS)
 def psi(s):
     return monitoring.psi(s.drift)
 
 
-@query
+@query(rows=DRIFT_ROWS)
 def ks_statistic(s):
     return monitoring.ks_statistic(s.drift)
 
 
-@query
+@query(rows=DRIFT_ROWS)
 def ks_pvalue(s):
     return monitoring.ks_pvalue(monitoring.ks_statistic(s.drift)).select("feature", "ks_pvalue")
 
 
-@query
+@query(rows=DRIFT_ROWS)
 def drift_report(s):
     return monitoring.drift_report(s.drift)
 
 
-@query
+@query(rows=DRIFT_ROWS)
 def monitoring_status(s):
     return monitoring.monitoring_status(monitoring.drift_report(s.drift))
 
@@ -644,58 +666,58 @@ def _weekly(s):
         (F.col("horizon") == horizon) & (F.col("model") == model)))
 
 
-@query
+@query(rows=WEEKLY_ROWS)
 def weekly_monitoring(s):
     return _weekly(s)
 
 
 # --- console views ------------------------------------------------------------
 
-@query
+@query(rows=DECISION_ROWS)
 def view_time_window(s):
     return views.time_window(s.decisions, s.focus, "warning").select(
         *KEYS, "maintenance_priority_score", "risk_level")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def view_latest_window(s):
     return views.time_window(s.decisions, mode="latest").select(
         *KEYS, "maintenance_priority_score", "risk_level")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def view_latest(s):
     return views.latest(s.decisions).select(
         *KEYS, "risk_level", "maintenance_priority_score", "anomaly_percentile",
         "primary_warning_signal", "recommended_action")
 
 
-@query
+@query(rows=DECISION_ROWS)
 def view_kpis(s):
     return views.kpis(s.decisions, s.episodes, decisions.cost_rollup(s.episodes), s.focus)
 
 
-@query
+@query(rows=DECISION_ROWS)
 def view_failure_window(s):
     return views.failure_window(s.decisions, s.focus)
 
 
-@query
+@query(rows=DECISION_ROWS)
 def view_episodes(s):
     return views.episode_table(s.episodes)
 
 
-@query
+@query(rows=PREDICTION_ROWS)
 def view_models(s):
     return views.model_table(_comparison(s))
 
 
-@query
+@query(rows=DRIFT_ROWS)
 def view_drift(s):
     return views.drift_table(monitoring.drift_report(s.drift))
 
 
-@query
+@query(rows=WEEKLY_ROWS)
 def view_weekly(s):
     return views.weekly_series(_weekly(s))
 

@@ -7,6 +7,7 @@ themselves are exercised separately.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import cached_property
 
@@ -16,8 +17,9 @@ from gaugeflow.config import ASSET, MINUTE, TARGETS, Calendar
 from gaugeflow.functions.expr import flag, micros
 from gaugeflow.operators import (aggregate, decisions, episodes, labels, metrics, monitoring,
                                  prep, rolling)
-from gaugeflow.session import settle, use_utc
+from gaugeflow.session import settle, shared_folder, use_utc
 from gaugeflow.sources.failures import failure_table
+from gaugeflow.sources.sinks import write_parquet
 from gaugeflow.sources.telemetry import readings_from_events
 
 ASSETS = 4
@@ -119,6 +121,19 @@ class EventLogStudy:
         return prep.chrono_split(self.modelling, self.calendar.train_end,
                                  self.calendar.calibration_end)
 
+    def on_table(self, columns: Sequence[str], layer: str = "modelling") -> "EventLogStudy":
+        """This study with one layer written out, reduced to some columns, and read back.
+
+        For queries that use the layer more than once, as between two scripts of
+        a pipeline: later passes read a narrow table instead of recomputing it.
+        """
+        wanted = list(dict.fromkeys([ASSET, MINUTE, *columns]))
+        path = shared_folder(self.spark, layer)
+        write_parquet(getattr(self, layer).select(*wanted), path)
+        study = EventLogStudy(self.spark, self.sf_dir, self.calendar)
+        study.__dict__[layer] = self.spark.read.parquet(path)
+        return study
+
     def part(self, name: str) -> DataFrame:
         return self.split.filter(F.col("split") == name)
 
