@@ -49,9 +49,9 @@ def fleet_failures() -> list[tuple]:
 
 def steady(df: DataFrame) -> DataFrame:
     """Fractional columns to six digits, cut off the ties that short decimals fall on."""
-    return df.select(*[
-        (F.floor(F.col(f.name) * 1e6 + 0.501) / 1e6).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+    return df.selectExpr(*[
+        f"floor(`{f.name}` * 1e6D + 0.501D) / 1e6D AS `{f.name}`"
+        if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
         for f in df.schema.fields])
 
 
