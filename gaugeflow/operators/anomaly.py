@@ -189,8 +189,9 @@ def attach_scores(features: DataFrame, scores: DataFrame,
                                        "anomaly_flag"), list(keys), "left")
 
 
-def _with_median(stats: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    medians = exact_median(rows, keys, "anomaly_percentile", "median_percentile")
+def _with_median(stats: DataFrame, rows: DataFrame, keys: Sequence[str],
+                 few_keys: bool = False) -> DataFrame:
+    medians = exact_median(rows, keys, "anomaly_percentile", "median_percentile", few_keys)
     return stats.join(medians, list(keys), "left")
 
 
@@ -202,7 +203,7 @@ def anomaly_by_period(scored: DataFrame) -> DataFrame:
     stats = rows.groupBy("period").agg(
         F.count("*").alias("rows"), F.avg("anomaly_score").alias("mean_anomaly_score"),
         (F.avg("anomaly_flag") * 100).alias("anomaly_rate"))
-    return _with_median(stats, rows, ["period"])
+    return _with_median(stats, rows, ["period"], few_keys=True)
 
 
 def anomaly_by_horizon(scored: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
@@ -213,7 +214,7 @@ def anomaly_by_horizon(scored: DataFrame, targets: dict[str, str] = TARGETS) ->
             .filter(F.col("positive") == 1))
     stats = rows.groupBy("horizon").agg(
         F.count("*").alias("rows"), (F.avg("anomaly_flag") * 100).alias("alert_rate"))
-    return _with_median(stats, rows, ["horizon"])
+    return _with_median(stats, rows, ["horizon"], few_keys=True)
 
 
 def anomaly_by_event(scored: DataFrame, failures: DataFrame, hours: float = 24,

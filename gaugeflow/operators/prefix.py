@@ -6,11 +6,12 @@ is ever sorted in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 64
+BUCKETS = 256
 SKETCH_ACCURACY = 10_000
 
 
@@ -31,11 +32,20 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[st
     """
     distinct = df.groupBy(*keys, value).agg(*[f.alias(name) for name, f in sums.items()])
     cuts = distinct.agg(F.percentile_approx(
-        value, [i / buckets for i in range(1, buckets)], 1_000).alias("cuts")).scalar()
+        value, [i / buckets for i in range(1, buckets)], 2_000).alias("cuts")).scalar()
     v, b = F.col(value), "_bucket"
+
+    def below(array):
+        return F.size(F.filter(array, lambda c: c < v))
+
+    # the cut points below a value: first every ``step``-th one, then those after it
+    step = max(2, math.isqrt(buckets))
+    coarse = F.array(*[F.col("_cuts")[i] for i in range(step - 1, buckets - 1, step)])
     bucketed = (distinct.withColumn("_cuts", cuts)
-                .withColumn(b, F.size(F.filter("_cuts", lambda c: c < v)))
-                .drop("_cuts"))
+                .withColumn("_coarse", below(coarse) * step)
+                .withColumn(b, F.col("_coarse") + below(
+                    F.slice("_cuts", F.col("_coarse") + 1, F.lit(step - 1))))
+                .drop("_cuts", "_coarse"))
     totals = bucketed.groupBy(*keys, b).agg(*[F.sum(n).alias(n) for n in sums])
     before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)

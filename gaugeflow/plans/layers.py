@@ -39,10 +39,15 @@ class Layers:
     def get(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name)).drop("event_date")
 
-    def report(self, name: str, df: DataFrame) -> DataFrame:
-        """A small result: Parquet for later steps and CSV for people."""
+    def report(self, name: str, df: DataFrame, one_file: bool = True) -> DataFrame:
+        """A result table: Parquet for later steps and CSV for people.
+
+        ``one_file`` is for tables whose rows are bounded by a list of models or
+        features; a table that grows with the fleet keeps one file per task.
+        """
         table = self.put(name, df)
-        sinks.write_report(table, self.path(f"reports/{name}"))
+        write = sinks.write_report if one_file else sinks.write_csv
+        write(table, self.path(f"reports/{name}"))
         return table
 
 
@@ -121,7 +126,7 @@ def build_decisions(layers: Layers, calendar: Calendar = STUDY_2022) -> DataFram
     table = layers.put("maintenance_decisions", decisions.decide(decisions.fuse_predictions(
         rows, layers.get("failure_predictions"), calendar.calibration_end)), MINUTE)
     merged = layers.report("maintenance_alert_episodes", episodes.flag_failure_related(
-        episodes.alert_episodes(episodes.alert_rows(table)), focus))
+        episodes.alert_episodes(episodes.alert_rows(table)), focus), one_file=False)
     layers.report("maintenance_cost_simulation", decisions.cost_rollup(merged))
     return table
 

@@ -28,16 +28,21 @@ def rename_readings(raw: DataFrame) -> DataFrame:
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              sampling_ratio: float | None = None) -> DataFrame:
-    """Scan a CSV export with the declared schema.
+    """Scan a CSV export with declared types, matched to its header by name.
 
-    ``sampling_ratio`` switches to type inference over that share of rows; it is
-    for profiling an unknown file, not for pipelines.
+    Only the header line is read for that; columns without a declared type come
+    as strings, and a file with another header is an error.  ``sampling_ratio``
+    switches to type inference over that share of rows; it is for profiling an
+    unknown file, not for pipelines.
     """
     reader = spark.read.option("header", True)
     if sampling_ratio is not None:
         return (reader.option("inferSchema", True).option("samplingRatio", sampling_ratio)
                 .option("preferDate", True).csv(path))
-    return reader.schema(schema or csv_schema()).csv(path)
+    declared = {f.name: f.dataType for f in (schema or csv_schema())}
+    header = reader.csv(path).columns
+    in_order = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
+    return reader.schema(in_order).option("enforceSchema", False).csv(path)
 
 
 def load_readings(spark: SparkSession, path: str, asset: int = 0) -> DataFrame:
@@ -80,7 +85,7 @@ def readings_from_events(events: DataFrame) -> DataFrame:
 
 
 def fleet_schema() -> T.StructType:
-    """Schema of the readings above as written to CSV, header order included."""
+    """Declared types of the readings above, for reading them back from CSV."""
     fields = [T.StructField(READING_TIME, T.TimestampNTZType()),
               T.StructField(ASSET, T.IntegerType())]
     fields += [T.StructField(name, DOUBLE) for name in ANALOG]

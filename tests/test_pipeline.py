@@ -55,10 +55,12 @@ def test_every_sql_has_a_query():
 
 
 def test_csv_header_is_renamed(spark, tmp_path):
-    path = tmp_path / "readings.csv"
-    line = ["2022-04-01T00:00:01.5"] + [str(i) for i in range(1, len(CSV_COLUMNS))]
-    path.write_text(",".join(CSV_COLUMNS) + "\n" + ",".join(line) + "\n")
+    values = {c: str(i) for i, c in enumerate(CSV_COLUMNS)}
+    values["timestamp"] = "2022-04-01T00:00:01.5"
+    for name, header in (("one", list(CSV_COLUMNS)), ("other", list(reversed(CSV_COLUMNS)))):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(",".join(header) + "\n" + ",".join(values[c] for c in header) + "\n")
+        row = load_readings(spark, str(path)).first()
+        assert row["asset_id"] == 0 and row["timestamp"].microsecond == 500000
+        assert (row["tp2"], row["dv_electric"], row["gps_quality"]) == (1.0, 10, 20.0)
     assert csv_schema().fieldNames() == list(CSV_COLUMNS)
-    row = load_readings(spark, str(path)).first()
-    assert row["asset_id"] == 0 and row["timestamp"].microsecond == 500000
-    assert (row["tp2"], row["dv_electric"], row["gps_quality"]) == (1.0, 10, 20.0)
