@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+# a word is a run of anything but ASCII white space
+WORD = r"[^\x20\x09-\x0D]+"
 # rows that share a window when running totals are formed
 ROWS_PER_BIN = 1024
 
@@ -33,17 +35,29 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Number of words of a text; 0 if there is none.
+    """Number of words of a text; 0 if there is none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-    All blanks become spaces and a run of spaces one mark, with plain string
-    replacement, which is much cheaper than matching a pattern for each word.
+
+def row_key(seed: int, *columns: Column) -> Column:
+    """A hash by which rows are ordered at random; equal for rows equal in the columns."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns]))
+
+
+def attach(docs: DataFrame, placed: DataFrame, key: Column, key_column: str, within: list[str],
+           order: str) -> DataFrame:
+    """Join placements to the rows of ``docs`` they are for, by ``key``.
+
+    Rows with the same key are told apart by numbers that both sides give to them: by ``order`` among
+    the placements with equal ``within``, by a hash of all columns among the documents.
     """
-    spaced = F.concat(F.lit(" "), text, F.lit(" "))
-    for blank in "\t\n\v\f\r":
-        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
-    marked = F.replace(F.replace(spaced, F.lit(" "), F.lit("\t\n")), F.lit("\n\t"), F.lit(""))
-    runs = F.length(marked) - F.length(F.replace(marked, F.lit("\t"), F.lit("")))
-    return F.coalesce(runs - 1, F.lit(0)).cast("long")
+    k, c = free_name(docs, "_key"), free_name(docs, "_copy")
+    numbered = docs.withColumn(k, key).withColumn(c, F.row_number().over(
+        W.partitionBy(k).orderBy(F.xxhash64(*docs.columns))))
+    copies = placed.withColumn("_nth", F.row_number().over(
+        W.partitionBy(key_column, *within).orderBy(order)))
+    return numbered.join(copies, (F.col(k) == F.col(key_column)) & (F.col(c) == F.col("_nth"))
+                         ).drop(k, c, key_column, "_nth")
 
 
 def fold(doc_id: Column) -> Column:

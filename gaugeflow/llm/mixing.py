@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from gaugeflow.llm.common import free_name, total_before, words, written
+from gaugeflow.llm.common import attach, free_name, row_key, total_before, words, written
 
 MAX_REPETITION = 4.0
 TARGET_ENTROPY = 0.95
@@ -107,39 +107,51 @@ def mixture_weights(totals: DataFrame, exponent: float, budget: int | None = Non
                 F.col("weight") * F.lit(float(block_tokens))).cast("long"))))
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", id_column: str = "doc_id",
-        target_entropy: float | None = TARGET_ENTROPY,
-        max_repetition: float | None = MAX_REPETITION, budget: int | None = None,
-        block_tokens: int = BLOCK_TOKENS, seed: int = 1) -> DataFrame:
-    """The mixture: rows of ``docs`` with a struct ``mix`` of n_tokens, epoch, block, position.
+def placements(docs: DataFrame, source: str = "source", text: str = "text",
+               id_column: str = "doc_id", target_entropy: float | None = TARGET_ENTROPY,
+               max_repetition: float | None = MAX_REPETITION, budget: int | None = None,
+               block_tokens: int = BLOCK_TOKENS, seed: int = 1) -> DataFrame:
+    """The mixture without texts: key, id and source of a row, then where it goes.
 
-    A document is taken in a pass (``epoch``, from 0) if the tokens of its source before it are
-    fewer than the budget; so a source exceeds its budget by less than a document, and a source of
-    which the budget is all its tokens gives each document once. NULL is a source like others; a NULL or
-    empty text weighs one token. The order in a pass is that of an md5 of id, text, seed and
-    pass; rows equal in id and text follow one another. An empty table gives no rows.
+    Columns: row_key, id, source, n_tokens, epoch, block, position. A document is taken in
+    a pass (``epoch``, from 0) if the tokens of its source before it are fewer than the
+    budget; so a source exceeds its budget by less than a document, and a source of which the
+    budget is all its tokens gives each document once. NULL is a source like others; a NULL or
+    empty text weighs one token. The order in a pass is that of an md5 of id, source, text,
+    seed and pass; rows equal in these follow one another. An empty table gives no rows.
     """
-    m, k = free_name(docs, "_mix_tokens"), free_name(docs, "_mix_key")
-    counted = docs.withColumns({m: token_count(F.col(text)), k: F.md5(F.concat_ws(
-        "|", F.lit(seed), F.col(id_column).cast("string"), F.col(text)))})
-    totals = written(source_totals(counted, source, m), "sources")
+    rows = written(docs.select(
+        row_key(seed, F.col(id_column), F.col(source), F.col(text)).alias("row_key"),
+        F.col(id_column).alias("id"), F.col(source).alias("source"),
+        token_count(F.col(text)).alias("n_tokens")), "lengths")
+    totals = written(source_totals(rows, "source", "n_tokens"), "sources")
     exponent = find_exponent(totals, target_entropy, max_repetition, budget)
-    weights = mixture_weights(totals, exponent, budget, block_tokens).select(
-        F.col("source").alias("_mix_source"), F.col("n_tokens").alias("_mix_n"),
-        F.col("budget").alias("_mix_budget"), F.col("quota").alias("_mix_quota"))
-    passes = F.ceil(F.col("_mix_budget") / F.col("_mix_n")).cast("int")
-    rows = (counted.join(weights, F.col(source).eqNullSafe(F.col("_mix_source")))
-            .filter("_mix_budget > 0")
-            .withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), passes - 1)))
-            .withColumn("_mix_order", F.md5(F.concat_ws(":", k, F.col("_mix_epoch")))))
+    weights = mixture_weights(totals, exponent, budget, block_tokens).filter("budget > 0").select(
+        F.col("source").alias("_source"), F.col("n_tokens").alias("_n"), "budget", "quota",
+        F.ceil(F.col("budget") / F.col("n_tokens")).cast("int").alias("_passes"))
+    taken = (rows.join(weights, F.col("source").eqNullSafe(F.col("_source")))
+             .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
+             .withColumn("_order", F.md5(F.concat_ws(":", "row_key", "epoch"))))
     size = totals.agg(F.sum("n_docs")).first()[0] or 0
-    placed = (total_before(rows, ["_mix_source", "_mix_epoch"], "_mix_order", m, "_mix_before", size)
-              .withColumn("_mix_at", F.col("_mix_before") + F.col("_mix_epoch") * F.col("_mix_n"))
-              .filter("_mix_at < _mix_budget")
-              .withColumn("_mix_block", F.floor(F.col("_mix_at") / F.col("_mix_quota"))))
-    position = F.row_number().over(W.partitionBy("_mix_block").orderBy(
-        F.md5(F.concat_ws(":", "_mix_order", F.lit("p"))), "_mix_at")) - 1
-    out = F.struct(F.col(m).alias("n_tokens"), F.col("_mix_epoch").alias("epoch"),
-                   F.col("_mix_block").cast("long").alias("block"),
-                   position.cast("long").alias("position"))
-    return placed.select(*docs.columns, out.alias(free_name(docs, "mix")))
+    at = (total_before(taken, ["source", "epoch"], "_order", "n_tokens", "_before", size)
+          .withColumn("_at", F.col("_before") + F.col("epoch") * F.col("_n"))
+          .filter("_at < budget")
+          .withColumn("block", F.floor(F.col("_at") / F.col("quota")).cast("long")))
+    position = F.row_number().over(W.partitionBy("block").orderBy(
+        F.md5(F.concat_ws(":", "_order", F.lit("p"))), "_at")) - 1
+    return at.select("row_key", "id", "source", "n_tokens", "epoch", "block",
+                     position.cast("long").alias("position"))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", id_column: str = "doc_id",
+        seed: int = 1, **targets) -> DataFrame:
+    """The mixture: rows of ``docs`` with a struct ``mix`` of n_tokens, epoch, block, position.
+
+    See ``placements`` for the targets and for what becomes of NULLs, ties and repeated rows.
+    """
+    found = placements(docs, source, text, id_column, seed=seed, **targets)
+    out = free_name(docs, "mix")
+    placed = found.select(F.col("row_key").alias("_mix_key"), F.struct(
+        "n_tokens", "epoch", "block", "position").alias(out))
+    key = row_key(seed, F.col(id_column), F.col(source), F.col(text))
+    return attach(docs, placed, key, "_mix_key", [f"{out}.epoch"], f"{out}.block")

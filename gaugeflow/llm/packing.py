@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeflow.llm.common import free_name, total_before
+from gaugeflow.llm.common import attach, free_name, row_key, total_before, written
 from gaugeflow.llm.mixing import token_count
 
 BUCKETS = 16
@@ -88,30 +88,41 @@ def length_bounds(lengths: DataFrame, length: str, buckets: int = BUCKETS,
     return optimal_bounds([(r[3], r[1], r[2]) for r in rows], buckets), sum(r[1] for r in rows)
 
 
-def pack(docs: DataFrame, text: str = "text", id_column: str = "doc_id", buckets: int = BUCKETS,
-         batch_tokens: int = BATCH_TOKENS, precision: int = PRECISION, seed: int = 1) -> DataFrame:
+def placements(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
+               buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS,
+               precision: int = PRECISION, seed: int = 1) -> DataFrame:
+    """Where every row goes: row_key, id, n_tokens, bucket, bucket_length, batch, slot.
+
+    A document is its words and an end mark long; a NULL or empty text is one token. A batch
+    (``batch`` counts from 0 in its bucket) holds ``batch_tokens // bucket_length``
+    documents, one if the bound exceeds the budget; only a bucket's last batch may hold fewer.
+    Documents of a bucket come in the order of an md5 of id, text and seed; rows equal in both follow
+    one another. An empty table gives no rows.
+    """
+    rows = written(docs.select(
+        row_key(seed, F.col(id_column), F.col(text)).alias("row_key"),
+        F.col(id_column).alias("id"), token_count(F.col(text)).alias("n_tokens")), "lengths")
+    bounds, size = length_bounds(rows, "n_tokens", buckets, precision)
+    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
+    placed = (rows.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("n_tokens"))))
+              .withColumn("bucket_length", F.get(edges, F.col("bucket")))
+              .withColumn("_one", F.lit(1)))
+    ranked = total_before(placed, ["bucket"], "row_key", "_one", "_rank", size)
+    fits = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("bucket_length"))).cast("long")
+    return ranked.select("row_key", "id", "n_tokens", "bucket", "bucket_length",
+                         F.floor(F.col("_rank") / fits).cast("long").alias("batch"),
+                         (F.col("_rank") % fits).cast("long").alias("slot"))
+
+
+def pack(docs: DataFrame, text: str = "text", id_column: str = "doc_id", seed: int = 1,
+         **limits) -> DataFrame:
     """Rows of ``docs`` with a struct ``pack``: n_tokens, bucket, bucket_length, batch, slot.
 
-    A document is its words and an end mark long; NULL and empty texts are one token. A batch (``batch`` counts
-    from 0 in its bucket) holds ``batch_tokens // bucket_length`` documents, one if the
-    bound exceeds the budget; only a bucket's last batch may hold fewer. Documents of a bucket
-    come in the order of an md5 of id, text and seed; rows equal in both follow one another. An
-    empty table gives no rows.
+    See ``placements`` for the limits and for what becomes of NULLs, ties and repeated rows.
     """
-    n, k = free_name(docs, "_pack_n"), free_name(docs, "_pack_key")
-    counted = docs.withColumns({n: token_count(F.col(text)), k: F.md5(F.concat_ws(
-        "|", F.lit(seed), F.col(id_column).cast("string"), F.col(text)))})
-    bounds, rows = length_bounds(counted.select(n), n, buckets, precision)
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds \
-        else F.array().cast("array<long>")
-    bucket = F.size(F.filter(edges, lambda b: b < F.col(n)))
-    placed = (counted.withColumn("_pack_bucket", bucket)
-              .withColumn("_pack_bound", F.get(edges, F.col("_pack_bucket")))
-              .withColumn("_pack_one", F.lit(1)))
-    ranked = total_before(placed, ["_pack_bucket"], k, "_pack_one", "_pack_rank", rows)
-    fits = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("_pack_bound"))).cast("long")
-    out = F.struct(F.col(n).alias("n_tokens"), F.col("_pack_bucket").alias("bucket"),
-                   F.col("_pack_bound").alias("bucket_length"),
-                   F.floor(F.col("_pack_rank") / fits).cast("long").alias("batch"),
-                   (F.col("_pack_rank") % fits).cast("long").alias("slot"))
-    return ranked.select(*docs.columns, out.alias(free_name(docs, "pack")))
+    found = placements(docs, text, id_column, seed=seed, **limits)
+    out = free_name(docs, "pack")
+    placed = found.select(F.col("row_key").alias("_pack_key"), F.struct(
+        "n_tokens", "bucket", "bucket_length", "batch", "slot").alias(out))
+    key = row_key(seed, F.col(id_column), F.col(text))
+    return attach(docs, placed, key, "_pack_key", [], out)

@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", "mix.*")
+    return mixing.placements(docs).select(
+        F.col("id").alias("doc_id"), "source", "n_tokens", "epoch", "block", "position")
 
 
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs).select("doc_id", "pack.*")
+    return packing.placements(docs).select(
+        F.col("id").alias("doc_id"), "n_tokens", "bucket", "bucket_length", "batch", "slot")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
