@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's budget asks for, block by block in permuted order."""
     out = free_name(docs, "mix")
-    return (mixing.mix(docs).sortWithinPartitions(f"{out}.block", f"{out}.position")
-            .select(*docs.columns))
+    return (mixing.mix(docs).repartition(F.col(f"{out}.block"))
+            .sortWithinPartitions(f"{out}.block", f"{out}.position").select(*docs.columns))
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
