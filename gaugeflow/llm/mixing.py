@@ -155,3 +155,58 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_column:
         "n_tokens", "epoch", "block", "position").alias(out))
     key = row_key(seed, F.col(id_column), F.col(source), F.col(text))
     return attach(docs, placed, key, "_mix_key", [f"{out}.epoch"], f"{out}.block")
+
+
+def oracle() -> str:
+    """The mixture of ``documents`` with the default targets in SQL, the exponent by recursion."""
+    steps = 1 << STEPS
+    entropy = ("(SELECT (ln(sum(exp(p * {0}))) - sum(exp(p * {0}) * p * {0}) / sum(exp(p * {0})))"
+               " / ln(count(*)) FROM shares)")
+    repeated = "(SELECT max(exp(p * {0}) * total / n) / sum(exp(p * {0})) FROM shares)"
+    middle = f"((lo + hi) // 2) / {steps}.0"
+    kept = f"{entropy} >= {TARGET_ENTROPY}"
+    over = f"{repeated} > {MAX_REPETITION}"
+
+    def search(name: str, holds: str) -> str:
+        test = holds.format(middle)
+        return f"""
+{name} AS (
+  SELECT 0 AS step, CASE WHEN {holds.format("1.0")} THEN {steps} ELSE 0 END AS lo,
+         CASE WHEN {holds.format("1.0")} OR {holds.format("0.0")} THEN {steps} ELSE 0 END AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN hi - lo > 1 AND {test} THEN (lo + hi) // 2 ELSE lo END,
+         CASE WHEN hi - lo > 1 AND NOT {test} THEN (lo + hi) // 2 ELSE hi END
+  FROM {name} WHERE step < {STEPS + 1})"""
+
+    return rf"""
+WITH RECURSIVE lengths AS (
+  SELECT doc_id, source, md5(concat_ws('|', '1', CAST(doc_id AS VARCHAR), source, text)) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n
+  FROM documents),
+totals AS (SELECT source, sum(n) AS n FROM lengths GROUP BY source),
+shares AS (
+  SELECT source, n, sum(n) OVER () AS total, ln(n / CAST(sum(n) OVER () AS DOUBLE)) AS p
+  FROM totals),{search("entropies", kept)},{search("repetitions", over)},
+chosen AS (
+  SELECT greatest((SELECT lo FROM entropies ORDER BY step DESC LIMIT 1),
+                  (SELECT hi FROM repetitions ORDER BY step DESC LIMIT 1)) / {steps}.0 AS a),
+masses AS (SELECT source, n, total, pow(n / CAST(total AS DOUBLE), a) AS m FROM shares, chosen),
+weights AS (SELECT source, n, total, m / sum(m) OVER () AS w FROM masses),
+budgets AS (
+  SELECT source, n, CAST(round(w * total) AS BIGINT) AS budget,
+         greatest(1, CAST(round(w * {BLOCK_TOKENS}) AS BIGINT)) AS quota FROM weights),
+passes AS (
+  SELECT source, n, budget, quota,
+         unnest(range(CAST(ceil(budget / CAST(n AS DOUBLE)) AS BIGINT))) AS epoch FROM budgets),
+taken AS (
+  SELECT l.doc_id, l.source, l.n AS n_tokens, epoch, budget, quota, p.n AS source_n,
+         md5(l.k || ':' || epoch) AS place
+  FROM lengths l JOIN passes p ON l.source IS NOT DISTINCT FROM p.source),
+placed AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + epoch * source_n AS spot FROM taken)
+SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch,
+       CAST(spot // quota AS BIGINT) AS block,
+       row_number() OVER (PARTITION BY spot // quota ORDER BY md5(place || ':p'), spot) - 1
+         AS position
+FROM placed WHERE spot < budget"""

@@ -126,3 +126,46 @@ def pack(docs: DataFrame, text: str = "text", id_column: str = "doc_id", seed: i
         "n_tokens", "bucket", "bucket_length", "batch", "slot").alias(out))
     key = row_key(seed, F.col(id_column), F.col(text))
     return attach(docs, placed, key, "_pack_key", [], out)
+
+
+def oracle() -> str:
+    """The packing of ``documents`` with the default limits in SQL, one query per layer of the
+    dynamic programme."""
+    span = 1 << 20  # a cost and the split it comes from are one number
+    layers = [f"""
+layer1 AS (SELECT j, CAST(longest * docs - mass AS HUGEINT) * {span} AS v FROM sums)"""]
+    for k in range(2, BUCKETS + 1):
+        layers.append(f"""
+layer{k} AS MATERIALIZED (
+  SELECT b.j, min((a.v // {span} + b.longest * (b.docs - c.docs) - (b.mass - c.mass)) * {span}
+    + a.j) AS v
+  FROM layer{k - 1} a JOIN sums c ON a.j = c.j JOIN sums b ON b.j > a.j GROUP BY b.j)""")
+    ends = [f"end{BUCKETS} AS (SELECT max(j) AS j FROM sums)"]
+    for k in range(BUCKETS, 1, -1):
+        ends.append(f"end{k - 1} AS (SELECT v % {span} AS j FROM layer{k} "
+                    f"WHERE j = (SELECT j FROM end{k}))")
+    ends_of = " UNION ALL ".join(f"SELECT j FROM end{k}" for k in range(1, BUCKETS + 1))
+    return rf"""
+WITH lengths AS (
+  SELECT doc_id, md5(concat_ws('|', '1', CAST(doc_id AS VARCHAR), text)) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n
+  FROM documents),
+cells AS (
+  SELECT max(n) AS longest, count(*) AS docs, sum(n) AS mass FROM lengths
+  GROUP BY n // (1 << greatest(0, length(bin(n)) - {PRECISION})), length(bin(n))),
+sums AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY longest) AS j, longest,
+         sum(docs) OVER (ORDER BY longest) AS docs, sum(mass) OVER (ORDER BY longest) AS mass
+  FROM cells),{",".join(layers)},
+{", ".join(ends)},
+bounds AS (SELECT longest AS bound FROM sums WHERE j IN ({ends_of})),
+placed AS (
+  SELECT doc_id, k, n, (SELECT count(*) FROM bounds WHERE bound < n) AS bucket,
+         (SELECT min(bound) FROM bounds WHERE bound >= n) AS bound FROM lengths),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY k) - 1 AS r,
+         greatest(1, {BATCH_TOKENS} // bound) AS fits FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(bucket AS INTEGER) AS bucket,
+       CAST(bound AS BIGINT) AS bucket_length, CAST(r // fits AS BIGINT) AS batch,
+       CAST(r % fits AS BIGINT) AS slot
+FROM ranked"""
