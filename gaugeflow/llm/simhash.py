@@ -73,10 +73,10 @@ def _combinations(blocks: int, max_bits: int) -> list[int]:
 
 def forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that join the values into the components of 'at most max_bits bits differ'."""
-    root = np.arange(len(values))
+    root, bits = np.arange(len(values)), values.view(np.uint64)  # of a negative number, the bits of its absolute value would count
     links = []
     for i in range(1, len(values)):
-        near = np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= max_bits)
+        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= max_bits)
         for r in np.unique(root[near]):
             # each component met so far is joined through one verified link
             links.append((int(values[near[root[near] == r][0]]), int(values[i])))
