@@ -72,10 +72,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "main", "rank", "region")
+    __slots__ = ("tag", "dropped", "mute", "main", "rank", "region")
 
-    def __init__(self, tag, dropped, main, rank, region):
-        self.tag, self.dropped, self.main, self.rank, self.region = tag, dropped, main, rank, region
+    def __init__(self, tag, dropped, mute, main, rank, region):
+        self.tag, self.dropped, self.mute = tag, dropped, mute
+        self.main, self.rank, self.region = main, rank, region
 
 
 class PageLines(HTMLParser):
@@ -84,7 +85,8 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int, int, int]] = []
-        self._open = [_Element("", False, 0, 0, 0)]
+        self._open = [_Element("", False, False, 0, 0, 0)]
+        self._owner = self._open[0]
         self._parts: list[str] = []
         self._tags = 1
         self._count = 0
@@ -109,8 +111,8 @@ class PageLines(HTMLParser):
     def _flush(self):
         text = " ".join("".join(self._parts).split())
         if text:
-            top = self._open[-1]
-            self.lines.append((text, self._tags, top.dropped, top.main, top.rank, top.region))
+            e = self._owner
+            self.lines.append((text, self._tags, e.dropped, e.main, e.rank, e.region))
         self._parts, self._tags = [], 1
 
     def _pop_to(self, index: int):
@@ -131,7 +133,7 @@ class PageLines(HTMLParser):
         if tag in VOID:
             self._tags += 1
             if tag == "br":
-                self._parts.append(" ")
+                self.handle_data(" ")
             elif tag == "hr":
                 self._flush()
             return
@@ -157,7 +159,9 @@ class PageLines(HTMLParser):
                                         "blockquote", "pre", "tr", "td", "th", "tbody", "thead"):
             self._count += 1
             region = self._count
-        self._open.append(_Element(tag, dropped, main, kept, region))
+        # inside of a line, what is left out has no line of its own: its text is not read
+        mute = top.mute or dropped and not top.dropped and tag not in BLOCK
+        self._open.append(_Element(tag, dropped, mute, main, kept, region))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -171,7 +175,7 @@ class PageLines(HTMLParser):
     def handle_endtag(self, tag):
         self._tags += 1
         if tag == "br":
-            self._parts.append(" ")
+            self.handle_data(" ")
             return
         inline = tag not in BLOCK and tag not in DROPPED
         for i in range(len(self._open) - 1, 0, -1):
@@ -184,7 +188,13 @@ class PageLines(HTMLParser):
             self._flush()
 
     def handle_data(self, data):
-        self._parts.append(data)
+        top = self._open[-1]
+        if not top.mute:
+            if not self._parts:
+                data = data.lstrip()
+                self._owner = top
+            if data:
+                self._parts.append(data)
 
     def unknown_decl(self, data):
         pass
