@@ -18,7 +18,8 @@ from gaugeflow.llm.common import free_name
 
 # Words without which a text has no license sentence.
 KEYWORDS = ("licen", "copyright", "redistribut", "warrant", "permission", "public domain", "spdx",
-            "free software", "all rights reserved", "applicable law")
+            "free software", "all rights reserved", "applicable law", "permitted", "endorse",
+            "advertising materials", "be liable")
 
 _UNDER = r"(is |are |be )?(hereby )?(re)?(released|licensed|distributed|available|provided|published|covered|free software)( to you)?( only)? (under|by)( the)?( terms of)?( the)?( an?)? ?"
 _GPL = r"(gnu )?general public licen[sc]e|gpl"

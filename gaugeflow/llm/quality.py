@@ -143,7 +143,7 @@ class Attention:
         """The probability of label 1 of every text, from all its passages."""
         weight, logit, owner = [], [], []
         for x, of in encode(texts):
-            h = np.clip((x - self.mean) / self.scale, -8, 8)
+            h = np.clip((x.astype(np.float64) - self.mean) / self.scale, -8, 8)
             weight.append((np.tanh(h @ self.v) * _sigmoid(h @ self.u)) @ self.w)
             logit.append(h @ self.c)
             owner.append(of)

@@ -52,12 +52,12 @@ def fill_table(shards: Sequence[str], slots: int = SLOTS) -> list[str]:
 
 
 def table_frame(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
-    """(_slot, _shard): the filled table, held in the plan itself."""
+    """(slot, shard): the filled table, held in the plan itself."""
     numbers = {s: i for i, s in enumerate(shards)}
     filled = ",".join(str(numbers[s]) for s in fill_table(shards, slots))
     names = F.array(*[F.lit(s) for s in shards])
-    return (spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("_slot", "_n"))
-            .select("_slot", F.get(names, F.col("_n").cast("int")).alias("_shard")))
+    return (spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("slot", "_n"))
+            .select("slot", F.get(names, F.col("_n").cast("int")).alias("shard")))
 
 
 def slot_of(keys: Sequence[Column], slots: int = SLOTS) -> Column:
@@ -78,11 +78,11 @@ def shard_rows(df: DataFrame, keys: Sequence[str], shards: Sequence[str] = SHARD
     columns = [F.col(k) for k in keys]
     if spread > 1:
         columns.append(F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
-    slot, shard = free_name(df, "slot"), free_name(df, "shard")
-    table = F.broadcast(table_frame(df.sparkSession, shards, slots))  # `slots` rows
+    slot, shard, own = (free_name(df, c) for c in ("slot", "shard", "_table_slot"))
+    table = table_frame(df.sparkSession, shards, slots).toDF(own, shard)
     placed = df.withColumn(slot, slot_of(columns, slots))
-    return placed.join(table, F.col(slot) == F.col("_slot")).select(
-        *df.columns, slot, F.col("_shard").alias(shard))
+    return placed.join(F.broadcast(table),  # `slots` rows
+                       F.col(slot) == F.col(own)).select(*df.columns, slot, shard)
 
 
 def oracle() -> str:
