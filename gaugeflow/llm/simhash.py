@@ -97,7 +97,8 @@ def close_links(fingerprints: DataFrame, column: str, max_bits: int = MAX_BITS,
               .withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int"))
               .select(F.col("_c").alias("_c2"), F.col("_key").alias("_key2"), "_chunks"))
     own = F.pmod(F.xxhash64("_f"), F.col("_chunks")).cast("int")
-    grouped = (keyed.join(shared, (F.col("_c") == F.col("_c2")) & (F.col("_key") == F.col("_key2")))
+    # the planner does not know how many keys a fingerprint has, so it must not broadcast them
+    grouped = (keyed.join(shared.hint("merge"), (F.col("_c") == F.col("_c2")) & (F.col("_key") == F.col("_key2")))
                .withColumn("_own", own)
                .select("_f", "_c", "_key", "_own",
                        F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other"))

@@ -103,7 +103,8 @@ def top_k(rows: DataFrame, queries: DataFrame, id_column: str = "id", code: str
                                F.explode("_f").alias("_flip")).select(
             "q", "bound", "s", F.col("_own").bitwiseXOR(F.col("_flip")).alias("v"))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        near = (probes.join(keyed, (F.col("s") == F.col("seg")) & (F.col("v") == F.col("value"))
+        # the planner does not know how many probes a query has, so it must not broadcast them
+        near = (probes.join(keyed.hint("merge"), (F.col("s") == F.col("seg")) & (F.col("v") == F.col("value"))
                             & (distance <= F.col("bound")))
                 .select("q", "code", "n", "least", distance.cast("int").alias("d")).distinct())
         if found is not None:
