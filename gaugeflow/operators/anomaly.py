@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeflow.config import ASSET, MINUTE, TARGETS
 from gaugeflow.functions.expr import flag
@@ -35,30 +36,33 @@ def tree_samples(train: DataFrame, row_id: Sequence[str], trees: int = TREES,
                  sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """A sample without replacement for every tree: rows tagged with ``tree_id``.
 
-    Each row decides by hash which trees it joins, so no row meets every tree in
-    a join.  Twice the wanted size is drawn and cut to the exact size in hash
-    order.  Large inputs are thinned by hash first, to a few rows per wanted
-    sample, so the per-tree hashes are spent on a bounded set.
+    Each row decides by hashes which trees it joins: how many, about ``2 * trees *
+    sample`` over all rows, and which, as every ``step``-th tree from a first one. A row
+    joins each tree with the same probability, and no row meets every tree in a join.
+    The surplus is cut to the exact size in hash order.
     """
-    pool = 4 * trees * sample
     modulus = 1 << 40
-    size = train.agg(F.count("*")).scalar()
-    base = F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(modulus))
-    kept = (train.withColumn("_n", size)
-            .filter(base * 1.0 < F.lit(float(pool)) / F.col("_n") * modulus))
-    # expected number of rows that survive the thinning
-    members = F.least(F.col("_n"), F.lit(pool)) * 1.0
-
-    def joins(t):
-        draw = F.pmod(F.xxhash64(F.lit(seed + 1), t, *row_id), F.lit(modulus))
-        return draw * 1.0 < F.lit(2.0 * sample) / members * modulus
-
-    tagged = (kept.withColumn("tree_id", F.explode(
-                  F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), joins)))
-              .withColumn("_r", F.xxhash64(F.lit(seed + 2), "tree_id", *row_id)))
+    n = train.agg(F.count("*")).scalar()
+
+    def number(salt: int, below: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed + salt), *row_id), F.lit(below))
+
+    share = F.least(F.lit(float(trees)), F.lit(2.0 * trees * sample) / F.col("_n"))
+    joined = F.floor(share + number(0, modulus) / F.lit(float(modulus))).cast("int")
+    # a step without a common divisor with the number of trees meets each tree once
+    steps = [s for s in range(1, trees + 1) if math.gcd(s, trees) == 1]
+    step = F.get(F.split(F.lit(",".join(map(str, steps))), ","),
+                 number(1, len(steps)).cast("int")).cast("long")
     order = W.partitionBy("tree_id").orderBy("_r", *row_id)
-    return (tagged.withColumn("_k", F.row_number().over(order))
-            .filter(F.col("_k") <= sample).drop("_k", "_r", "_n"))
+    return (train.withColumn("_n", n)
+            .withColumns({"_joined": joined, "_first": number(2, trees), "_step": step})
+            .filter("_joined > 0")
+            .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_joined") - 1)))
+            .withColumn("tree_id", F.pmod(F.col("_first") + F.col("_j") * F.col("_step"),
+                                          F.lit(trees)).cast("int"))
+            .withColumn("_r", F.xxhash64(F.lit(seed + 3), "tree_id", *row_id))
+            .withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= sample)
+            .drop("_k", "_r", "_n", "_j", "_joined", "_first", "_step"))
 
 
 def fit_isolation_forest(train: DataFrame, features: Sequence[str],

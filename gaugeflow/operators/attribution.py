@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from gaugeflow.config import ASSET, MINUTE
 from gaugeflow.functions.expr import hours_between
 from gaugeflow.operators.intervals import match_intervals
-from gaugeflow.operators.labels import lookback_windows
+from gaugeflow.operators.labels import lookback_windows, merged_lookbacks
 from gaugeflow.session import shared_folder
 
 # Leaf entries sent to the executors at once; larger forests go in blocks of trees.
@@ -20,10 +20,9 @@ BROADCAST_ENTRIES = 2_000_000
 
 def explanation_window(rows: DataFrame, failures: DataFrame, hours: float,
                        keys: Sequence[str] = (ASSET,)) -> DataFrame:
-    """Rows in the hours before each failure, tagged with it."""
-    return match_intervals(
-        rows, lookback_windows(failures.select(*keys, "event_id", "start_time"), hours),
-        "window_start", "start_time", keys=keys).drop("window_start")
+    """Rows in the hours before any failure, each once."""
+    return match_intervals(rows, merged_lookbacks(failures, hours, keys), "window_start",
+                           "start_time", keys=keys).drop("window_start", "start_time")
 
 
 def linear_attribution(scaled: DataFrame, background: DataFrame,
@@ -189,15 +188,17 @@ def first_alerts(alerts: DataFrame, failures: DataFrame, hours: float,
 
 def first_alert_explanation(attributions: DataFrame, alerts: DataFrame,
                             keys: Sequence[str] = (ASSET,)) -> DataFrame:
-    """Attributions of the first-alert rows, with the alert beside them."""
-    at = alerts.withColumnRenamed("alert_timestamp", MINUTE).drop("event_id", "threshold")
+    """Attributions of the first-alert row of each failure, with the alert beside them."""
+    at = alerts.withColumnRenamed("alert_timestamp", MINUTE)
     return (attributions.join(at, [*keys, MINUTE])
             .withColumn("absolute_impact", F.abs("attribution"))
             .withColumnRenamed(MINUTE, "alert_timestamp"))
 
 
-def top_drivers(explanation: DataFrame, ids: Sequence[str] = (ASSET, "alert_timestamp"),
-                k: int = 3) -> DataFrame:
+ALERT_IDS = (ASSET, "event_id", "alert_timestamp")
+
+
+def top_drivers(explanation: DataFrame, ids: Sequence[str] = ALERT_IDS, k: int = 3) -> DataFrame:
     """The k strongest features of each alert as columns; ties by feature name.
 
     Each group holds one row per listed feature.
@@ -207,3 +208,12 @@ def top_drivers(explanation: DataFrame, ids: Sequence[str] = (ASSET, "alert_time
     return ranked.groupBy(*ids).agg(*[
         F.max(F.when(F.col("_r") == i, F.col("feature"))).alias(f"top_driver_{i}")
         for i in range(1, k + 1)])
+
+
+def explanation_summary(explanation: DataFrame, model: str, ids: Sequence[str] = ALERT_IDS,
+                        k: int = 3) -> DataFrame:
+    """One row per explained alert: model, lead, probability, threshold and top drivers."""
+    facts = explanation.groupBy(*ids).agg(*[
+        F.max(c).alias(c) for c in ("hours_before_failure", "failure_probability", "threshold")])
+    return (facts.withColumn("model", F.lit(model))
+            .join(top_drivers(explanation, ids, k), list(ids)))

@@ -112,17 +112,22 @@ def first_useful_warning(decisions: DataFrame, failures: DataFrame, hours: float
             .drop("start_time"))
 
 
-def cost_rollup(episodes: DataFrame, scenarios: Sequence[CostScenario] = COST_SCENARIOS,
-                failures: int = 1) -> DataFrame:
-    """Scenario costs; inspections are paid per alert episode where they apply."""
-    spark = episodes.sparkSession
+def cost_rollup(episodes: DataFrame, failures: DataFrame,
+                scenarios: Sequence[CostScenario] = COST_SCENARIOS) -> DataFrame:
+    """Scenario costs of all given failures; inspections are paid per alert episode.
+
+    Downtime and repair fall due once per failure, on every asset that has one.
+    """
     table = local_table(
-        spark, [(s.name, s.downtime_hours * failures, s.downtime_hours * s.hourly_rate * failures,
-          s.repair_cost * failures, s.inspection_cost) for s in scenarios],
+        episodes.sparkSession,
+        [(s.name, s.downtime_hours, s.downtime_hours * s.hourly_rate, s.repair_cost,
+          s.inspection_cost) for s in scenarios],
         "scenario string, downtime_hours double, downtime_cost double, repair_cost double, "
         "per_episode double")
     return (table.withColumn("_n", episodes.agg(F.count("*")).scalar())
-            .select("scenario", "downtime_hours", "downtime_cost", "repair_cost",
+            .withColumn("_f", failures.agg(F.count("*")).scalar())
+            .select("scenario", *[(F.col(c) * F.col("_f")).alias(c) for c in (
+                        "downtime_hours", "downtime_cost", "repair_cost")],
                     (F.col("per_episode") * F.col("_n")).alias("inspection_cost"))
             .withColumn("total_cost", F.col("downtime_cost") + F.col("repair_cost")
                         + F.col("inspection_cost")))

@@ -47,7 +47,9 @@ def _facts_by_scan(rows, failures, keys, time_col, chunk_seconds):
                              F.col("start_time").alias("_s"), F.col("end_time").alias("_o"))
     ends = failures.select(*keys, F.col("end_time").alias(time_col), F.lit(2).alias("_kind"),
                            F.col("end_time").alias("_e"))
-    marks = starts.unionByName(ends, allowMissingColumns=True).withColumn("_chunk", chunk)
+    # a bound that is not known says nothing at any time
+    marks = (starts.unionByName(ends, allowMissingColumns=True)
+             .filter(F.col(time_col).isNotNull()).withColumn("_chunk", chunk))
 
     days = (rows.select(*keys, "_chunk").unionByName(
                 marks.select(*keys, "_chunk", "_s", "_o", "_e"), allowMissingColumns=True)
@@ -134,6 +136,22 @@ def lookback_windows(failures: DataFrame, hours: float, low: str = "window_start
         secs=F.lit(float(hours) * 3600)))
 
 
+def merged_lookbacks(failures: DataFrame, hours: float, keys: Sequence[str] = (ASSET,),
+                     low: str = "window_start") -> DataFrame:
+    """The windows before all failures of an asset, those that touch as one.
+
+    Each moment lies in one window at most, so rows that join them never repeat.
+    """
+    windows = lookback_windows(failures.select(*keys, "start_time"), hours, low).filter(
+        F.col("start_time").isNotNull())
+    order = W.partitionBy(*keys).orderBy("start_time")
+    fresh = F.coalesce(F.col(low) > F.lag("start_time").over(order), F.lit(True))
+    run = F.sum(flag(F.col("_new"))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return (windows.withColumn("_new", fresh).withColumn("_run", run)
+            .groupBy(*keys, "_run").agg(F.min(low).alias(low),
+                                        F.max("start_time").alias("start_time")).drop("_run"))
+
+
 # output -> (statistic, column)
 PREFAILURE_STATS = {
     "avg_oil_temperature": (F.avg, "oil_temperature_mean"),

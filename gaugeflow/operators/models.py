@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +20,10 @@ from gaugeflow.operators.prep import (fit_medians, fit_scaler, impute, standardi
                                       with_class_weight)
 
 SEED = 42
+ROWS_PER_TASK = 50_000
+# models that are trained at the same time: one after the other would leave a cluster idle
+# between the many short passes of each
+PARALLEL_FITS = 4
 
 
 @dataclass(frozen=True)
@@ -96,7 +101,9 @@ def fit_model(train: DataFrame, features: Sequence[str], horizon: str, target: s
     """Fit one classifier on the training split.
 
     Medians and scaling are fitted on the training rows only.  The assembled
-    rows are kept (on disk when memory is short) for the passes of the trainer.
+    rows are kept (on disk when memory is short) for the passes of the trainer, in
+    tasks of up to ``ROWS_PER_TASK`` rows: a trainer takes thousands of passes, and the
+    start of smaller tasks would cost more than their work.
     """
     features = tuple(features)
     medians, scaler = prepared or fit_preparation(train, features)
@@ -108,7 +115,8 @@ def fit_model(train: DataFrame, features: Sequence[str], horizon: str, target: s
         "features", F.col(target).cast("double").alias("label"), "class_weight")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = spec.estimator(rows.count()).fit(rows)
+        n = rows.count()
+        model = spec.estimator(n).fit(rows.coalesce(max(1, -(-n // ROWS_PER_TASK))))
     finally:
         rows.unpersist()
     return FittedModel(spec.name, horizon, target, features, spec.scaled, model, medians, scaler)
@@ -127,10 +135,37 @@ def score_model(df: DataFrame, fitted: FittedModel,
         vector_to_array("probability")[1].alias("failure_probability"))
 
 
+def score_models(df: DataFrame, fitted: Sequence[FittedModel],
+                 keep: Sequence[str] = (ASSET, MINUTE)) -> DataFrame:
+    """Predictions of models that share their preparation, in one pass over the rows.
+
+    Every model adds one column of probabilities, and the columns then become the rows of the
+    long prediction layout.
+    """
+    first = fitted[0]
+    features, targets = first.features, list(dict.fromkeys(f.target for f in fitted))
+    ready = impute(df.select(*dict.fromkeys([*keep, *targets, *features])), first.medians)
+    z = {c: f"_z_{c}" for c in features}
+    ready = ready.withColumns({name: (F.col(c) - F.lit(first.scaler[c][0]).cast("double"))
+                               / F.lit(first.scaler[c][1] or 1.0) for c, name in z.items()})
+    for columns, out in ((features, "_plain"), (z.values(), "_scaled")):
+        ready = VectorAssembler(inputCols=list(columns), outputCol=out).transform(ready)
+    for i, f in enumerate(fitted):
+        model = f.model.copy()
+        model.setFeaturesCol("_scaled" if f.scaled else "_plain").setProbabilityCol(f"_p{i}")
+        ready = model.setRawPredictionCol("").setPredictionCol("").transform(ready)
+    entries = F.array(*[F.struct(
+        F.lit(f.horizon).alias("horizon"), F.lit(f.name).alias("model"),
+        F.col(f.target).cast("int").alias("actual"),
+        vector_to_array(f"_p{i}")[1].alias("failure_probability"))
+        for i, f in enumerate(fitted)])
+    return ready.select(*keep, F.inline(entries))
+
+
 def train_and_score(rows: DataFrame, features: Sequence[str], targets: dict[str, str],
                     specs: Sequence[ModelSpec] = MODEL_SPECS,
-                    keep: Sequence[str] = (ASSET, MINUTE, "split")
-                    ) -> tuple[list[FittedModel], DataFrame | None]:
+                    keep: Sequence[str] = (ASSET, MINUTE, "split"),
+                    parallel: int = PARALLEL_FITS) -> tuple[list[FittedModel], DataFrame | None]:
     """Every classifier for every horizon; predictions on all splits, one long table.
 
     ``rows`` carries ``split``.  A horizon without training positives is skipped.
@@ -139,14 +174,13 @@ def train_and_score(rows: DataFrame, features: Sequence[str], targets: dict[str,
     prepared = fit_preparation(train, features)
     positives = train.agg(*[F.coalesce(F.sum(t), F.lit(0)).alias(h)
                             for h, t in targets.items()]).first()
-    fitted = [fit_model(train, features, h, t, spec, prepared)
-              for h, t in targets.items() if positives[h] > 0 for spec in specs]
-    if not fitted:
+    wanted = [(h, t, spec) for h, t in targets.items() if positives[h] > 0 for spec in specs]
+    if not wanted:
         return [], None
-    predictions = score_model(rows, fitted[0], keep)
-    for f in fitted[1:]:
-        predictions = predictions.unionByName(score_model(rows, f, keep))
-    return fitted, predictions
+    with ThreadPool(min(parallel, len(wanted))) as pool:
+        fitted = pool.map(inheritable_thread_target(
+            lambda w: fit_model(train, features, w[0], w[1], w[2], prepared)), wanted)
+    return fitted, score_models(rows, fitted, keep)
 
 
 def save_model(spark: SparkSession, fitted: FittedModel, path: str,

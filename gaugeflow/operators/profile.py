@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeflow.config import READING_TIME
+from gaugeflow.config import ASSET, READING_TIME
 
 
 def preview(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
@@ -34,13 +34,14 @@ def schema_profile(df: DataFrame) -> DataFrame:
         "row_count", "null_count")
 
 
-def warehouse_summary(readings: DataFrame, time_col: str = READING_TIME) -> DataFrame:
-    """Rows, time span, days with data and rows beyond the first per timestamp.
+def warehouse_summary(readings: DataFrame, time_col: str = READING_TIME,
+                      keys: Sequence[str] = (ASSET,)) -> DataFrame:
+    """Rows, time span, days with data and rows beyond the first per asset and timestamp.
 
     Two counts of distinct values would expand every row twice.  Counting per
     timestamp first, then per day, shuffles each timestamp once.
     """
-    per_time = readings.groupBy(time_col).agg(F.count("*").alias("n"))
+    per_time = readings.groupBy(*keys, time_col).agg(F.count("*").alias("n"))
     per_day = (per_time.groupBy(F.to_date(time_col).alias("day"))
                .agg(F.sum("n").alias("n"), F.count(time_col).alias("distinct_times"),
                     F.min(time_col).alias("first_time"), F.max(time_col).alias("last_time")))

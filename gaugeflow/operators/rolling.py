@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.config import (ASSET, DEVIATION_SIGNALS, FRAMES, GRAIN_SECONDS, MINUTE,
                               RANGE_COLUMNS, SIGNALS, TREND_SIGNALS, ZSCORE_SIGNALS)
-from gaugeflow.functions.expr import finite, micros
+from gaugeflow.functions.expr import micros
 
 CHUNK_SECONDS = 24 * 3600
 MICROS = 1_000_000
-COARSE_BITS = 20
+SQL_STATS = {"count": "count", "avg": "avg", "std": "stddev_pop", "max": "max"}
 BY_ALIAS = {s.alias: s for s in SIGNALS}
 
 
@@ -40,134 +40,36 @@ def _chunked(rows: DataFrame, time_col: str, chunk_seconds: int, reach: int) ->
                                             .otherwise(F.array(own)))))
 
 
-def _split_values(rows: DataFrame, sources: Mapping[str, str], part: str) -> DataFrame:
-    """Each source as ``ref + h + l``: a chunk constant, a coarse and a fine part.
-
-    ``h`` is a multiple of a power of two that leaves it 20 bits, so sums of
-    ``h`` and of ``h * h`` over a chunk of up to 4096 rows have no rounding at
-    all, and their differences none either; ``l`` is too small to matter.
-    ``turn`` is the time of the value before a change of value, and ``bad`` the
-    time of a value that is NaN or infinite.
-    """
-    full = f"({part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    before = f"({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    rows = rows.withColumns({f"_x_{k}": finite(c) for k, c in sources.items()})
-    rows = rows.selectExpr("*", *[e for k in sources for e in (
-        f"first(_x_{k}, true) OVER {full} AS _ref_{k}",
-        f"min(_x_{k}) OVER {full} AS _lo_{k}",
-        f"max(_x_{k}) OVER {full} AS _hi_{k}",
-        f"last(if(_x_{k} IS NULL, NULL, struct(_x_{k} AS x, _at AS at)), true) OVER {before} "
-        f"AS _prev_{k}")])
-    rows = rows.selectExpr("*", *[e for k, c in sources.items() for e in (
-        f"_x_{k} - _ref_{k} AS _d_{k}",
-        f"if(_hi_{k} > _lo_{k}, pow(2D, ceil(log2(greatest(_hi_{k} - _ref_{k}, "
-        f"_ref_{k} - _lo_{k}))) - {COARSE_BITS}), 1D) AS _u_{k}",
-        f"if(_x_{k} != _prev_{k}.x, _prev_{k}.at, NULL) AS _turn_{k}",
-        f"if(`{c}` IS NOT NULL AND _x_{k} IS NULL, _at, NULL) AS _bad_{k}")])
-    rows = rows.selectExpr("*", *[f"rint(_d_{k} / _u_{k}) * _u_{k} AS _h_{k}" for k in sources])
-    return rows.selectExpr("*", *[f"_d_{k} - _h_{k} AS _l_{k}" for k in sources])
-
-
-def _running(k: str, squares: bool) -> dict[str, str]:
-    sums = {"n": f"count(_x_{k})", "h": f"sum(_h_{k})", "l": f"sum(_l_{k})"}
-    if squares:
-        sums["hh"] = f"sum(_h_{k} * _h_{k})"
-        sums["hl"] = f"sum((2D * _h_{k} + _l_{k}) * _l_{k})"
-    return sums
-
-
 def rolling_windows(minutes: DataFrame, spec: Mapping[str, tuple[str, str, str]] | None = None, *,
                     frames: Mapping[str, int] = FRAMES, keys: Sequence[str] = (ASSET,),
                     time_col: str = MINUTE, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Range frames ``[t - frame, t]``, peers included, in one pass over time chunks.
 
-    *Parallel in time.*  A row belongs to its own chunk, and is repeated in the
-    next one when a frame there can reach back to it; repeats are dropped at the
-    end.  One long series therefore spreads over (asset, chunk), with one
-    shuffle and one sort for all frames.
+    A row belongs to its own chunk, and is repeated in the next one when a frame
+    there can reach back to it; repeats are dropped at the end.  One long series
+    therefore spreads over (asset, chunk), with one shuffle and one sort for all
+    frames.  Inside a chunk the statistics are Spark's own over sliding frames: each frame
+    is summed up from its own rows, so that no reading outside of it, however
+    extreme, can cost it digits.  At the minute grain a frame of six hours has 361
+    rows at most, whatever the length of the series.
 
-    *Linear in the frame.*  A frame that slides is evaluated anew for every row.
-    Counts, averages and deviations come instead from sums that only grow: up
-    to the row, less up to just before its frame.  The values are split so that
-    the subtraction does not lose digits, and a frame without a change of value
-    has a deviation of exactly 0.  Only maxima slide.
+    A row without a time is kept; its frames hold the rows of its asset without one.
     """
     spec = dict(spec or rolling_spec())
     reach = max(frames[frame] for _, _, frame in spec.values())
     if chunk_seconds < reach:
         raise ValueError("a chunk must be at least as long as the longest frame")
     part = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _chunk ORDER BY _at"
-    now = f"OVER ({part} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    reach_of = {frame: seconds * MICROS for frame, seconds in frames.items()}
-
-    # source -> frame -> statistics wanted of it
-    used: dict[str, dict[str, set]] = {}
-    for stat, source, frame in spec.values():
-        if stat in ("avg", "std"):
-            used.setdefault(source, {}).setdefault(frame, set()).add(stat)
-    names = {c: str(i) for i, c in enumerate(used)}
-    rows = _chunked(minutes, time_col, chunk_seconds, reach)
-    if names:
-        rows = _split_values(rows, {k: c for c, k in names.items()}, part)
-
-    sums = []
-    for source, k in names.items():
-        squares = any("std" in stats for stats in used[source].values())
-        sums += [f"{total} {now} AS _now_{what}_{k}"
-                 for what, total in _running(k, squares).items()]
-        sums += [f"max(_turn_{k}) {now} AS _turned_{k}", f"max(_bad_{k}) {now} AS _spoilt_{k}"]
-    counted = {frame for stat, _, frame in spec.values() if stat == "count"}
-    if counted:
-        sums.append(f"count(*) {now} AS _now_rows")
-    for frame, length in reach_of.items():
-        gone = f"OVER ({part} RANGE BETWEEN UNBOUNDED PRECEDING AND {length + 1}L PRECEDING)"
-        if frame in counted:
-            sums.append(f"count(*) {gone} AS _{frame}_rows")
-        for source, k in names.items():
-            stats = used[source].get(frame, ())
-            if stats:
-                sums += [f"{total} {gone} AS _{frame}_{what}_{k}"
-                         for what, total in _running(k, "std" in stats).items()]
-    sums += [f"max(`{source}`) OVER ({part} RANGE BETWEEN {reach_of[frame]}L PRECEDING "
-             f"AND CURRENT ROW) AS `{out}`"
-             for out, (stat, source, frame) in spec.items() if stat == "max"]
-    rows = rows.selectExpr("*", *sums).filter("_chunk = _own")
-
-    # what each frame holds, then its mean
-    rows = rows.selectExpr("*", *[
-        f"coalesce(_now_{what}_{k}, 0) - coalesce(_{frame}_{what}_{k}, 0) AS _in_{frame}_{what}_{k}"
-        for source, k in names.items() for frame, stats in used[source].items()
-        for what in _running(k, "std" in stats)])
-    rows = rows.selectExpr("*", *[
-        f"if(_in_{frame}_n_{k} > 0, (_in_{frame}_h_{k} + _in_{frame}_l_{k}) / _in_{frame}_n_{k}, "
-        f"NULL) AS _mean_{frame}_{k}"
-        for source, k in names.items() for frame in used[source]])
-    # the squares are taken about the multiple of the unit nearest to the mean
-    rows = rows.selectExpr("*", *[
-        f"rint(_mean_{frame}_{k} / _u_{k}) * _u_{k} AS _c_{frame}_{k}"
-        for source, k in names.items() for frame, stats in used[source].items()
-        if "std" in stats])
-
-    def result(out: str, stat: str, source: str, frame: str) -> str:
-        if stat == "count":
-            return f"_now_rows - _{frame}_rows AS `{out}`"
-        if stat == "max":
-            return f"`{out}`"
-        k = names[source]
-        start, mean, c = f"_at - {reach_of[frame]}L", f"_mean_{frame}_{k}", f"_c_{frame}_{k}"
-        held = f"_in_{frame}"
-        value = f"_ref_{k} + {mean}"
-        if stat == "std":
-            squares = (f"({held}_hh_{k} - 2D * {c} * {held}_h_{k} + {held}_n_{k} * {c} * {c} "
-                       f"+ ({held}_hl_{k} - 2D * {c} * {held}_l_{k}))")
-            value = (f"CASE WHEN {mean} IS NULL THEN NULL WHEN _turned_{k} >= {start} THEN "
-                     f"sqrt(greatest({squares} / {held}_n_{k} - ({mean} - {c}) * ({mean} - {c}), "
-                     "0D)) ELSE 0D END")
-        # a NaN or infinite value makes every frame that holds it undefined
-        return f"if(_spoilt_{k} >= {start}, double('NaN'), {value}) AS `{out}`"
-
-    return rows.selectExpr(*[f"`{c}`" for c in minutes.columns],
-                           *[result(out, *how) for out, how in spec.items()])
+
+    def windowed(out: str, stat: str, source: str, frame: str) -> str:
+        column = source if source == "*" else f"`{source}`"
+        return (f"{SQL_STATS[stat]}({column}) OVER ({part} RANGE BETWEEN "
+                f"{frames[frame] * MICROS}L PRECEDING AND CURRENT ROW) AS `{out}`")
+
+    return (_chunked(minutes, time_col, chunk_seconds, reach)
+            .selectExpr("*", *[windowed(out, *how) for out, how in spec.items()])
+            .filter("_chunk <=> _own")
+            .selectExpr(*[f"`{c}`" for c in minutes.columns], *[f"`{out}`" for out in spec]))
 
 
 def trend_columns() -> dict[str, Column]:

@@ -11,7 +11,7 @@ from gaugeflow.functions.expr import lookup, shift_hours
 from gaugeflow.operators.decisions import first_useful_warning, savings
 from gaugeflow.operators.episodes import episode_summary
 from gaugeflow.operators.intervals import match_intervals
-from gaugeflow.operators.labels import lookback_windows
+from gaugeflow.operators.labels import lookback_windows, merged_lookbacks
 from gaugeflow.operators.monitoring import monitoring_status
 
 
@@ -20,10 +20,10 @@ def time_window(decisions: DataFrame, failures: DataFrame | None = None, mode: s
     """Rows of one time view; both ends of a window are included.
 
     ``warning``: the day up to each given failure; ``latest``: the last 48 hours
-    of data; ``full``: everything.
+    of data; ``full``: everything.  A row comes once, however many failures are near.
     """
     if mode == "warning":
-        windows = lookback_windows(failures.select(*keys, "start_time"), 24)
+        windows = merged_lookbacks(failures, 24, keys)
         return match_intervals(decisions, windows, "window_start", "start_time", keys=keys,
                                include_high=True).drop("window_start", "start_time")
     if mode == "latest":
@@ -36,11 +36,9 @@ def time_window(decisions: DataFrame, failures: DataFrame | None = None, mode: s
 
 
 def latest(decisions: DataFrame, keys: Sequence[str] = (ASSET,)) -> DataFrame:
-    """The newest row of each asset, by partial aggregation rather than a sort."""
-    rest = [c for c in decisions.columns if c not in keys]
-    return (decisions.groupBy(*keys)
-            .agg(F.max_by(F.struct(*rest), F.col(MINUTE)).alias("_row"))
-            .select(*keys, "_row.*"))
+    """The newest row of each asset: its time by partial aggregation, then the row at it."""
+    newest = decisions.groupBy(*keys).agg(F.max(MINUTE).alias(MINUTE))
+    return decisions.join(newest, [*keys, MINUTE], "left_semi")
 
 
 def failure_window(decisions: DataFrame, failures: DataFrame, hours: float = 24,

@@ -21,9 +21,6 @@ from gaugeflow.sources.telemetry import fleet_schema, scan_csv
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = (ASSET, MINUTE)
 RANGED = ("tp2", "tp3", "reservoirs", "oil_temperature", "flowmeter", "motor_current")
-# settings of the model queries: small enough for a laptop, same code path
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
-SMALL_BOOST = {"maxIter": 5}
 # weights of the linear attribution query, by position in the feature list
 LINEAR_WEIGHTS = {c: (1.0 if i % 2 == 0 else -1.0) * (i + 1) / 10.0
                   for i, c in enumerate(ANOMALY_FEATURES)}
@@ -89,19 +86,14 @@ def sink_csv_roundtrip(s):
     return s.spark.read.option("header", True).schema(report.schema).csv(path)
 
 
-def _seen(s):
-    """Documented failures of the assets that appear in the telemetry."""
-    return s.failures.join(s.readings.select(ASSET).distinct(), ASSET, "left_semi")
-
-
 @query
 def failure_events(s):
-    return _seen(s)
+    return s.incidents
 
 
 @query
 def failure_durations(s):
-    return labels.failure_durations(_seen(s))
+    return labels.failure_durations(s.incidents)
 
 
 @query
@@ -296,7 +288,7 @@ def standardize(s):
 
 def _forest(s):
     ready = _standardized(s).select(*KEYS, *ANOMALY_FEATURES, s.healthy.alias("is_healthy"))
-    nodes = anomaly.fit_isolation_forest(ready.filter("is_healthy"), ANOMALY_FEATURES, trees=100)
+    nodes = anomaly.fit_isolation_forest(ready.filter("is_healthy"), ANOMALY_FEATURES)
     return ready, nodes
 
 
@@ -438,31 +430,28 @@ def _fit_and_score(s, spec, horizon="24h"):
 
 @query(rows=MODEL_ROWS)
 def fit_logistic(s):
-    return _fit_and_score(s, models.LOGISTIC.with_params(maxIter=30))
+    return _fit_and_score(s, models.LOGISTIC)
 
 
 @query(rows=MODEL_ROWS)
 def fit_random_forest(s):
-    return _fit_and_score(s, models.RANDOM_FOREST.with_params(**SMALL_FOREST), "6h")
+    return _fit_and_score(s, models.RANDOM_FOREST, "6h")
 
 
 @query(rows=MODEL_ROWS)
 def fit_gbt_depthwise(s):
-    return _fit_and_score(s, models.GBT_DEPTHWISE.with_params(**SMALL_BOOST))
+    return _fit_and_score(s, models.GBT_DEPTHWISE)
 
 
 @query(rows=MODEL_ROWS)
 def fit_gbt_leafwise(s):
-    return _fit_and_score(s, models.GBT_LEAFWISE.with_params(**SMALL_BOOST))
+    return _fit_and_score(s, models.GBT_LEAFWISE)
 
 
 @query(rows=MODEL_ROWS)
 def score_models(s):
-    """Two classifiers over all splits, calibrated and applied to the test split."""
-    specs = [models.LOGISTIC.with_params(maxIter=30),
-             models.RANDOM_FOREST.with_params(**SMALL_FOREST)]
-    _, predictions = models.train_and_score(s.split, FAILURE_FEATURES,
-                                            {"24h": TARGETS["24h"]}, specs)
+    """All classifiers for all horizons, calibrated and applied to the test split."""
+    _, predictions = models.train_and_score(s.split, FAILURE_FEATURES, TARGETS)
     thresholds = metrics.calibrate_threshold(predictions.filter(F.col("split") == "calibration"))
     return metrics.apply_threshold(predictions.filter(F.col("split") == "test"), thresholds)
 
@@ -470,7 +459,9 @@ def score_models(s):
 @query(rows=MODEL_ROWS)
 def model_roundtrip(s):
     path = shared_folder(s.spark, "model")
-    models.save_model(s.spark, _fit(s, models.LOGISTIC.with_params(maxIter=30)), path, 0.5,
+    fitted = _fit(s, models.LOGISTIC)
+    budget = metrics.calibrate_threshold(models.score_model(s.part("calibration"), fitted))
+    models.save_model(s.spark, fitted, path, budget.first()["alert_threshold"],
                       s.calendar.train_end, s.calendar.calibration_end)
     fitted, threshold = models.load_model(s.spark, path)
     return models.score_model(s.part("test"), fitted).withColumn(
@@ -544,14 +535,20 @@ def top_drivers(s):
     return attribution.top_drivers(explained)
 
 
+@query(rows=LINEAR_ROWS)
+def explanation_summary(s):
+    explained = steady(attribution.first_alert_explanation(_linear(s), _early_alerts(s)))
+    return attribution.explanation_summary(explained, EARLY_MODEL[1])
+
+
 @query(rows=MODEL_ROWS)
 def tree_attribution(s):
-    fitted = _fit(s, models.RANDOM_FOREST.with_params(**SMALL_FOREST))
+    fitted = _fit(s, models.RANDOM_FOREST, "6h")
     leaves = attribution.forest_leaves(fitted.model, s.spark)
     test = fitted.prepare(s.part("test").select(*KEYS, *FAILURE_FEATURES))
     window = attribution.explanation_window(test, s.focus, 1)
     return attribution.tree_attribution(window, leaves, FAILURE_FEATURES, KEYS,
-                                        SMALL_FOREST["numTrees"])
+                                        fitted.model.getNumTrees)
 
 
 # --- decisions ----------------------------------------------------------------
@@ -615,7 +612,7 @@ def first_useful_warning(s):
 
 @query(rows=DECISION_ROWS)
 def cost_rollup(s):
-    return decisions.cost_rollup(s.episodes)
+    return decisions.cost_rollup(s.episodes, s.focus)
 
 
 # --- monitoring ---------------------------------------------------------------
@@ -624,7 +621,7 @@ def cost_rollup(s):
 def drift_split(s):
     split = monitoring.drift_split(s.modelling, s.calendar.baseline_end,
                                    s.calendar.calibration_end)
-    return split.groupBy(ASSET, "side").agg(F.count("*").alias("rows"))
+    return split.select(*KEYS, "side")
 
 
 @query
@@ -694,7 +691,8 @@ def view_latest(s):
 
 @query(rows=DECISION_ROWS)
 def view_kpis(s):
-    return views.kpis(s.decisions, s.episodes, decisions.cost_rollup(s.episodes), s.focus)
+    return views.kpis(s.decisions, s.episodes, decisions.cost_rollup(s.episodes, s.focus),
+                      s.focus)
 
 
 @query(rows=DECISION_ROWS)

@@ -76,6 +76,18 @@ class EventLogStudy:
     def failures(self) -> DataFrame:
         return failure_table(self.spark, fleet_failures())
 
+    @cached_property
+    def incidents(self) -> DataFrame:
+        """Failures the log itself reports: a strong error, for as many minutes as it says."""
+        minutes = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+        return (self.table("events")
+                .filter((F.col("event_type") == "error") & (F.col("value") >= 50))
+                .select((F.col("user_id") % 4).cast("int").alias(ASSET),
+                        F.col("event_id").cast("int").alias("event_id"),
+                        F.lit("Strong Error").alias("failure_type"),
+                        F.col("event_type").alias("component"), F.col("ts").alias("start_time"),
+                        (F.col("ts") + F.make_dt_interval(mins=minutes)).alias("end_time")))
+
     @cached_property
     def focus(self) -> DataFrame:
         return self.failures.filter(F.col("event_id") == self.calendar.focus_event)

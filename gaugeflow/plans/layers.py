@@ -127,7 +127,7 @@ def build_decisions(layers: Layers, calendar: Calendar = STUDY_2022) -> DataFram
         rows, layers.get("failure_predictions"), calendar.calibration_end)), MINUTE)
     merged = layers.report("maintenance_alert_episodes", episodes.flag_failure_related(
         episodes.alert_episodes(episodes.alert_rows(table)), focus), one_file=False)
-    layers.report("maintenance_cost_simulation", decisions.cost_rollup(merged))
+    layers.report("maintenance_cost_simulation", decisions.cost_rollup(merged, focus))
     return table
 
 

@@ -236,13 +236,17 @@ SELECT m.*, CAST(CASE WHEN EXISTS (SELECT 1 FROM focus f WHERE f.asset_id = m.as
   AND m.episode_start < f.start_time AND m.episode_end >= f.start_time - INTERVAL 24 HOUR)
   THEN 1 ELSE 0 END AS INTEGER) AS failure_related FROM merged m
 """
-CTES["costs"] = " UNION ALL ".join(
-    f"SELECT '{s.name}' AS scenario, {s.downtime_hours}::DOUBLE AS downtime_hours, "
-    f"{s.downtime_hours * s.hourly_rate}::DOUBLE AS downtime_cost, "
-    f"{s.repair_cost}::DOUBLE AS repair_cost, {s.inspection_cost}::DOUBLE * count(*) "
-    f"AS inspection_cost, {s.downtime_hours * s.hourly_rate + s.repair_cost}::DOUBLE + "
-    f"{s.inspection_cost}::DOUBLE * count(*) AS total_cost FROM episodes"
-    for s in COST_SCENARIOS)
+CTES["per_failure"] = " UNION ALL ".join(
+    f"SELECT '{s.name}' AS scenario, asset_id, event_id, {s.downtime_hours}::DOUBLE AS hours, "
+    f"{s.hourly_rate}::DOUBLE AS rate, {s.repair_cost}::DOUBLE AS repair, "
+    f"{s.inspection_cost}::DOUBLE AS inspection FROM focus" for s in COST_SCENARIOS)
+CTES["costs"] = """
+SELECT scenario, downtime_hours, downtime_cost, repair_cost, inspection_cost,
+  downtime_cost + repair_cost + inspection_cost AS total_cost
+FROM (SELECT scenario, sum(hours) AS downtime_hours, sum(hours * rate) AS downtime_cost,
+        sum(repair) AS repair_cost,
+        max(inspection) * (SELECT count(*) FROM episodes) AS inspection_cost
+      FROM per_failure GROUP BY 1)"""
 
 # --- monitoring ---------------------------------------------------------------
 CTES["sided"] = f"""
@@ -420,15 +424,15 @@ CTES["attributions"] = " UNION ALL ".join(
     f"{LINEAR_WEIGHTS[c]}::DOUBLE * (s.{c} - b.{c}) AS attribution "
     "FROM explained_rows s, background b" for c in ANOMALY_FEATURES)
 CTES["early_first"] = f"""
-SELECT asset_id, min(minute_timestamp) AS alert_timestamp,
+SELECT asset_id, event_id, max(alert_threshold) AS threshold, min(minute_timestamp) AS alert_timestamp,
   arg_min(failure_probability, minute_timestamp) AS failure_probability,
   {hours('min(start_time)', 'min(minute_timestamp)')} AS hours_before_failure
 FROM in_window WHERE alert = 1 AND horizon = '{EARLY_MODEL[0]}' AND model = '{EARLY_MODEL[1]}'
-GROUP BY 1
+GROUP BY 1, 2
 """
 CTES["explanation"] = """
-SELECT a.asset_id, alert_timestamp, feature, feature_value, attribution,
-  abs(attribution) AS absolute_impact, failure_probability, hours_before_failure
+SELECT a.asset_id, event_id, alert_timestamp, feature, feature_value, attribution,
+  abs(attribution) AS absolute_impact, failure_probability, threshold, hours_before_failure
 FROM attributions a JOIN early_first e
   ON a.asset_id = e.asset_id AND a.minute_timestamp = e.alert_timestamp
 """
@@ -467,7 +471,11 @@ def oracle(name: str, select: str, *cut_columns: str) -> None:
 DOUBLE_READINGS = [*ANALOG, "gps_speed"]
 for name in ("telemetry_project", "scan_csv_roundtrip", "sink_parquet_roundtrip"):
     oracle(name, "SELECT * FROM telemetry", *DOUBLE_READINGS)
-SEEN = "SELECT * FROM failures WHERE asset_id IN (SELECT asset_id FROM telemetry)"
+SEEN = """
+SELECT CAST(user_id % 4 AS INTEGER) AS asset_id, CAST(event_id AS INTEGER) AS event_id,
+  'Strong Error' AS failure_type, event_type AS component, ts AS start_time,
+  ts + to_minutes(CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER)) AS end_time
+FROM events WHERE event_type = 'error' AND value >= 50"""
 oracle("failure_events", SEEN)
 oracle("failure_durations", "SELECT *, round((epoch_us(end_time) - epoch_us(start_time)) / 3.6e9, 2)"
        f" AS duration_hours FROM ({SEEN})", "duration_hours")
@@ -488,7 +496,7 @@ oracle("warehouse_summary", """
 SELECT count(*) AS row_count, min("timestamp") AS first_timestamp,
   max("timestamp") AS last_timestamp,
   count(DISTINCT CAST("timestamp" AS DATE)) AS observed_days,
-  count(*) - count(DISTINCT "timestamp") AS duplicate_timestamps FROM telemetry""")
+  count(*) - count(DISTINCT (asset_id, "timestamp")) AS duplicate_timestamps FROM telemetry""")
 oracle("sensor_ranges", "SELECT " + ", ".join(
     f"min({c}) AS {c}_min, max({c}) AS {c}_max" for c in RANGED) + " FROM telemetry",
     *[f"{c}_{end}" for c in RANGED for end in ("min", "max")])
@@ -675,12 +683,16 @@ oracle("attribution_importance", IMPORTANCE, "mean_abs")
 oracle("top_attributions", f"SELECT feature, {cut('mean_abs', 'mean_abs')} FROM ({IMPORTANCE}) "
        "ORDER BY 2 DESC, 1 LIMIT 12", "mean_abs")
 oracle("first_alert_explanation", "SELECT * FROM explanation", "feature_value", "attribution",
-       "absolute_impact", "failure_probability", "hours_before_failure")
-oracle("top_drivers", "SELECT asset_id, alert_timestamp, " + ", ".join(
-    f"max(feature) FILTER (r = {i}) AS top_driver_{i}" for i in (1, 2, 3))
-    + " FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, alert_timestamp "
-    f"ORDER BY impact DESC, feature) AS r FROM (SELECT *, {cut('absolute_impact', 'impact')} "
-    "FROM explanation)) GROUP BY 1, 2")
+       "absolute_impact", "failure_probability", "threshold", "hours_before_failure")
+DRIVERS = ", ".join(f"max(feature) FILTER (r = {i}) AS top_driver_{i}" for i in (1, 2, 3))
+DRIVEN = (" FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, event_id, alert_timestamp "
+          f"ORDER BY impact DESC, feature) AS r FROM (SELECT *, {cut('absolute_impact', 'impact')} "
+          "FROM explanation)) GROUP BY 1, 2, 3")
+oracle("top_drivers", f"SELECT asset_id, event_id, alert_timestamp, {DRIVERS}{DRIVEN}")
+oracle("explanation_summary", "SELECT asset_id, event_id, alert_timestamp, "
+       f"'{EARLY_MODEL[1]}' AS model, max(hours_before_failure) AS hours_before_failure, "
+       "max(failure_probability) AS failure_probability, max(threshold) AS threshold, "
+       f"{DRIVERS}{DRIVEN}", "hours_before_failure", "failure_probability", "threshold")
 
 # --- decisions ----------------------------------------------------------------
 FUSED_FRACTIONS = [c for c in SENSOR_COLUMNS if c not in ("anomaly_flag", "failure_next_24h")] + [
@@ -715,7 +727,7 @@ COST_COLUMNS = ["downtime_hours", "downtime_cost", "repair_cost", "inspection_co
 oracle("cost_rollup", "SELECT * FROM costs", *COST_COLUMNS)
 
 # --- monitoring ---------------------------------------------------------------
-oracle("drift_split", "SELECT asset_id, side, count(*) AS rows FROM sided GROUP BY 1, 2")
+oracle("drift_split", f"SELECT {KEYS}, side FROM sided")
 MOMENTS = ["baseline_mean", "production_mean", "baseline_std", "production_std"]
 oracle("drift_moments", "SELECT * FROM moments", *MOMENTS)
 oracle("psi", "SELECT * FROM psi", "psi")

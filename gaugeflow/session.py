@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -57,11 +56,11 @@ def settle(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder all executors see.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Only a local session may go without the setting; it then uses /tmp/checkpoints.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="gaugeflow-")
+        root = "/tmp/checkpoints"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

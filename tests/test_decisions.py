@@ -57,17 +57,19 @@ def test_no_alerts_no_episodes(spark):
     none = alerts(spark, 1).filter("asset_id = 9")
     assert episodes.alert_episodes(none).count() == 0
     costs = {r["scenario"]: r["total_cost"] for r in
-             decisions.cost_rollup(episodes.alert_episodes(none)).collect()}
+             decisions.cost_rollup(episodes.alert_episodes(none), spark.range(1)).collect()}
     assert costs == {"Reactive maintenance": 42000.0, "Predictive maintenance": 15000.0}
 
 
 def test_cost_of_the_published_study(spark):
     fourteen = spark.range(14)
-    costs = decisions.cost_rollup(fourteen)
+    costs = decisions.cost_rollup(fourteen, spark.range(1))
     assert {r["scenario"]: r["total_cost"] for r in costs.collect()} == {
         "Reactive maintenance": 42000.0, "Predictive maintenance": 22000.0}
     saved = decisions.savings(costs).first()
     assert (saved["avoided_cost"], saved["hours_avoided"]) == (20000.0, 8.0)
+    fleet = decisions.savings(decisions.cost_rollup(fourteen, spark.range(3))).first()
+    assert (fleet["avoided_cost"], fleet["hours_avoided"]) == (74000.0, 24.0)
 
 
 def test_episode_overlaps_failure_window(spark):
@@ -106,5 +108,9 @@ def test_time_views(spark):
     failures = failure_table(spark, [(0, 2, "k", "p", at(1500), at(1600))])
     kept = views.time_window(df, failures, "warning").orderBy("minute_timestamp").collect()
     assert [r["minute_timestamp"] for r in kept] == [at(60), at(1500)]
+    near = failure_table(spark, [(0, 2, "k", "p", at(1500), at(1600)),
+                                 (0, 3, "k", "p", at(2220), at(2300))])  # 12 hours later
+    kept = views.time_window(df, near, "warning").orderBy("minute_timestamp").collect()
+    assert [r["minute_timestamp"] for r in kept] == [at(60), at(1500), at(1501)]
     assert views.time_window(df, mode="latest").count() == 1
     assert views.latest(df).first()["minute_timestamp"] == at(9000)

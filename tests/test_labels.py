@@ -1,5 +1,3 @@
-from datetime import timedelta
-
 from conftest import at
 from gaugeflow.operators.intervals import count_in_intervals, match_intervals
 from gaugeflow.operators.labels import label_minutes
@@ -84,4 +82,23 @@ def test_empty_interval_counts_zero(spark):
     out = count_in_intervals(rows, failures(spark, (0, 6), (50, 60)), "start_time", "end_time",
                              ["event_id"]).collect()
     assert {r["event_id"]: r["observations"] for r in out} == {1: 2, 2: 0}
-    assert timedelta(minutes=1)
+
+
+def test_unknown_and_reversed_bounds_both_ways(spark):
+    spans = local_table(spark, [
+        (0, None, at(500)), (0, at(3000), None), (0, at(9000), at(8000)), (0, None, None)],
+        "asset_id int, start_time timestamp_ntz, end_time timestamp_ntz")
+    minutes = [0, 499, 500, 501, 1900, 2900, 2999, 3000, 3001, 8500, 8999, 9001, 12000]
+    rows = rows_at(spark, *minutes).unionByName(local_table(
+        spark, [(0, None)], "asset_id int, minute_timestamp timestamp_ntz"))
+    both = []
+    for limit in (100, 0):
+        out = label_minutes(rows, spans, broadcast_rows=limit).collect()
+        both.append({r["minute_timestamp"]: r for r in out})
+    assert both[0] == both[1] and len(both[0]) == len(minutes) + 1
+    found = both[0]
+    assert all(r["failure_active"] == 0 for r in found.values())
+    assert [found[at(m)]["post_failure_24h"] for m in (499, 500, 501, 1900, 2000 - 60)
+            if at(m) in found] == [0, 0, 1, 1]
+    assert found[at(2900)]["failure_next_6h"] == 1 and found[at(3000)]["failure_next_6h"] == 0
+    assert found[None]["failure_next_24h"] == 0 and found[None]["hours_to_next_failure"] is None

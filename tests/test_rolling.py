@@ -91,3 +91,24 @@ def test_plan_spreads_one_asset_over_time(spark):
     plan = rolling.rolling_windows(df, SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Python" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_deviation_beside_a_spike(spark):
+    """One reading of 1e9 must not touch the digits of frames without it."""
+    rows = [(0, at(m), 8.0 + (m % 10) * 1e-4) for m in range(1400)]
+    rows[700] = (0, at(700), 1e9)
+    df = local_table(spark, rows, "asset_id int, minute_timestamp timestamp_ntz, v double")
+    found = rolling.rolling_windows(df, {"s": ("std", "v", "1h")}).orderBy("minute_timestamp")
+    for i, r in enumerate(found.collect()):
+        frame = [v for _, _, v in rows[max(0, i - 60):i + 1]]
+        mean = math.fsum(frame) / len(frame)
+        std = math.sqrt(math.fsum((v - mean) ** 2 for v in frame) / len(frame))
+        assert math.isclose(r["s"], std, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_row_without_a_time_is_kept(spark):
+    df = local_table(spark, [(0, at(0), 1.0), (0, None, 3.0)],
+                     "asset_id int, minute_timestamp timestamp_ntz, v double")
+    out = rolling.rolling_windows(df, {"n": ("count", "*", "1h"), "a": ("avg", "v", "1h")})
+    assert sorted((r["minute_timestamp"] is None, r["n"], r["a"]) for r in out.collect()) == [
+        (False, 1, 1.0), (True, 1, 3.0)]
