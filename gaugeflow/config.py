@@ -44,6 +44,9 @@ ANALOG = ("tp2", "tp3", "h1", "dv_pressure", "reservoirs", "oil_temperature",
 DIGITAL = ("comp", "dv_electric", "towers", "mpg", "lps", "pressure_switch",
            "oil_level", "caudal_impulses")
 
+# --- fixed values: sensors of the range report --------------------------------
+RANGED = ("tp2", "tp3", "reservoirs", "oil_temperature", "flowmeter", "motor_current")
+
 # --- fixed values: per-minute statistics of each reading column --------------
 MINUTE_STATS = {
     "tp2": ("mean", "min", "max", "std"),

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gaugeflow.config import ASSET, MINUTE, TARGETS
 from gaugeflow.functions.expr import flag
 from gaugeflow.operators.intervals import match_intervals
 from gaugeflow.operators.labels import lookback_windows
 from gaugeflow.operators.prefix import exact_median, exact_quantiles, prefix_sums
+from gaugeflow.operators.prep import impute, standardize
 from gaugeflow.operators.rolling import period_column
+from gaugeflow.session import local_table
 
 TREES = 400
 SAMPLE = 256
@@ -157,6 +161,45 @@ def score_isolation_forest(df: DataFrame, nodes: DataFrame, features: Sequence[s
     return df.withColumn(name, score(F.struct(*features)))
 
 
+@dataclass(frozen=True)
+class AnomalyModel:
+    """Everything needed to score and flag new rows; ``nodes`` is the forest's table."""
+
+    features: tuple[str, ...]
+    medians: dict
+    scaler: dict
+    nodes: DataFrame
+    threshold: float
+    baseline_end: datetime
+
+    def save(self, path: str) -> None:
+        spark = self.nodes.sparkSession
+        constants = [(i, c, self.medians[c], *self.scaler[c]) for i, c in enumerate(self.features)]
+        for name, table in (
+                ("nodes", self.nodes),
+                ("features", local_table(spark, constants, "position int, feature string, "
+                                         "median double, mean double, std double")),
+                ("info", local_table(spark, [(self.threshold, self.baseline_end)],
+                                     "alert_threshold double, baseline_end timestamp_ntz"))):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "AnomalyModel":
+        rows = spark.read.parquet(f"{path}/features").orderBy("position").collect()
+        info = spark.read.parquet(f"{path}/info").first()
+        return AnomalyModel(
+            tuple(r["feature"] for r in rows), {r["feature"]: r["median"] for r in rows},
+            {r["feature"]: (r["mean"], r["std"]) for r in rows},
+            spark.read.parquet(f"{path}/nodes"), info["alert_threshold"], info["baseline_end"])
+
+    def score(self, df: DataFrame, keep: Sequence[str] = (ASSET, MINUTE)) -> DataFrame:
+        """``keep``, the anomaly score and its flag for every row."""
+        ready = standardize(impute(df.select(*keep, *self.features), self.medians), self.scaler)
+        scored = score_isolation_forest(ready, self.nodes, self.features)
+        return scored.select(*keep, "anomaly_score", flag(
+            F.col("anomaly_score") >= F.lit(self.threshold)).alias("anomaly_flag"))
+
+
 def score_threshold(baseline: DataFrame, quantile: float = 0.99,
                     score: str = "anomaly_score") -> DataFrame:
     """Alert threshold: a high quantile of the healthy scores, as one row."""

@@ -86,6 +86,11 @@ class FittedModel:
         return standardize(ready, self.scaler) if self.scaled else ready
 
 
+def coefficients(fitted: FittedModel) -> dict[str, float]:
+    """The weights of a fitted logistic regression, by feature."""
+    return dict(zip(fitted.features, map(float, fitted.model.coefficients.toArray())))
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
@@ -178,8 +183,9 @@ def train_and_score(rows: DataFrame, features: Sequence[str], targets: dict[str,
     if not wanted:
         return [], None
     with ThreadPool(min(parallel, len(wanted))) as pool:
-        fitted = pool.map(inheritable_thread_target(
-            lambda w: fit_model(train, features, w[0], w[1], w[2], prepared)), wanted)
+        fit = inheritable_thread_target(rows.sparkSession)(
+            lambda w: fit_model(train, features, w[0], w[1], w[2], prepared))
+        fitted = pool.map(fit, wanted)
     return fitted, score_models(rows, fitted, keep)
 
 

@@ -1,7 +1,7 @@
 """Cumulative counts in value order, and exact quantiles, on any number of rows.
 
-Both are the distributed answer to "sort everything and walk along it": no key
-is ever sorted in one task.
+Both are the distributed answer to "sort everything and walk along it": values are
+walked along in cells, and only sums of cells are ever put in order per key.
 """
 
 from __future__ import annotations
@@ -15,6 +15,18 @@ BUCKETS = 256
 SKETCH_ACCURACY = 10_000
 
 
+def _below(cuts: Column, value: Column, buckets: int) -> Column:
+    """How many of ``buckets - 1`` ascending cut points lie below a value.
+
+    First among every ``step``-th of them, then among those that follow.
+    """
+    step = max(2, math.isqrt(buckets))
+    coarse = F.size(F.filter(F.array(*[F.get(cuts, F.lit(i)) for i in range(
+        step - 1, buckets - 1, step)]), lambda c: c < value)) * step
+    fine = F.filter(F.slice(cuts, coarse + 1, F.lit(step - 1)), lambda c: c < value)
+    return coarse + F.size(fine)
+
+
 def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], *,
                 buckets: int = BUCKETS) -> DataFrame:
     """One row per distinct (keys, value) with running sums in value order.
@@ -24,38 +36,40 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[st
     (``total_name``).
 
     Rows collapse to distinct values on the map side first, so repeated values
-    cost nothing.  Values are then cut into buckets at approximate quantiles of
-    all distinct values; the running sum restarts per (keys, bucket) and the sum
-    of the earlier buckets is added.  The cut points only balance the work and
-    never change the result.  At most ``buckets`` rows per key are windowed by
-    key alone.
+    cost nothing.  Values are cut into ranges at approximate quantiles of all
+    distinct values, and each range again into as many cells, so a cell holds
+    about one in ``buckets ** 2`` of them.  The running sum restarts per cell; the
+    sums of the earlier cells of the range and of the earlier ranges are added.  The
+    cut points only balance the work and never change the result, and no window
+    over ranges or cells has more than ``buckets`` rows of a key.
     """
     distinct = df.groupBy(*keys, value).agg(*[f.alias(name) for name, f in sums.items()])
-    cuts = distinct.agg(F.percentile_approx(
-        value, [i / buckets for i in range(1, buckets)], 2_000).alias("cuts")).scalar()
-    v, b = F.col(value), "_bucket"
-
-    def below(array):
-        return F.size(F.filter(array, lambda c: c < v))
-
-    # the cut points below a value: first every ``step``-th one, then those after it
-    step = max(2, math.isqrt(buckets))
-    coarse = F.array(*[F.col("_cuts")[i] for i in range(step - 1, buckets - 1, step)])
-    bucketed = (distinct.withColumn("_cuts", cuts)
-                .withColumn("_coarse", below(coarse) * step)
-                .withColumn(b, F.col("_coarse") + below(
-                    F.slice("_cuts", F.col("_coarse") + 1, F.lit(step - 1))))
-                .drop("_cuts", "_coarse"))
-    totals = bucketed.groupBy(*keys, b).agg(*[F.sum(n).alias(n) for n in sums])
-    before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    offsets = totals.select(
-        *keys, b,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
-        *[F.sum(n).over(whole).alias(f"total_{n}") for n in sums])
-    within = W.partitionBy(*keys, b).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    running = bucketed.withColumns({f"_run_{n}": F.sum(n).over(within) for n in sums})
-    return (running.join(offsets, [*keys, b])
+    shares, v = [i / buckets for i in range(1, buckets)], F.col(value)
+    cuts = distinct.agg(F.percentile_approx(value, shares, 2_000).alias("cuts")).scalar()
+    ranged = (distinct.withColumn("_cuts", cuts)
+              .withColumn("_range", _below(F.col("_cuts"), v, buckets)).drop("_cuts"))
+    inner = ranged.groupBy("_range").agg(F.percentile_approx(value, shares, 2_000).alias("_cuts"))
+    celled = (ranged.join(F.broadcast(inner), "_range")  # a row per range
+              .withColumn("_cell", _below(F.col("_cuts"), v, buckets)).drop("_cuts"))
+
+    def before(n: str, part: Sequence[str], order: str) -> Column:
+        w = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(n).over(w), F.lit(0))
+
+    cells = celled.groupBy(*keys, "_range", "_cell").agg(*[F.sum(n).alias(n) for n in sums])
+    ranges = cells.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in sums]).select(
+        *keys, "_range", *[before(n, keys, "_range").alias(f"_r_{n}") for n in sums],
+        *[F.sum(n).over(W.partitionBy(*keys)).alias(f"total_{n}") for n in sums])
+    offsets = cells.select(
+        *keys, "_range", "_cell",
+        *[before(n, [*keys, "_range"], "_cell").alias(f"_c_{n}") for n in sums]).join(
+        ranges, [*keys, "_range"]).select(
+        *keys, "_range", "_cell", *[(F.col(f"_c_{n}") + F.col(f"_r_{n}")).alias(f"_before_{n}")
+                                    for n in sums], *[f"total_{n}" for n in sums])
+    within = W.partitionBy(*keys, "_range", "_cell").orderBy(value).rowsBetween(
+        W.unboundedPreceding, 0)
+    running = celled.withColumns({f"_run_{n}": F.sum(n).over(within) for n in sums})
+    return (running.join(offsets, [*keys, "_range", "_cell"])
             .select(*keys, value, *sums,
                     *[(F.col(f"_run_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}")
                       for n in sums],
@@ -66,10 +80,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                     accuracy: int = SKETCH_ACCURACY, few_keys: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles: one array column ``quantiles`` per key.
 
-    A mergeable sketch first brackets every wanted rank.  In the second pass all
-    values below a bracket collapse into one counted row, those above it are
-    dropped, and only the values inside, about ``8 / accuracy`` of the rows, are
-    counted one by one.  NULLs are ignored.
+    A mergeable sketch first brackets every wanted rank.  In the second pass each value
+    falls into one cell between the ends of the brackets; values outside of all
+    brackets collapse into one counted row per cell, and only those inside, about
+    ``8 / accuracy`` of the rows per rank, are counted one by one and summed up in value
+    order by ``prefix_sums``.  NULLs are ignored.
 
     ``few_keys`` says that the number of keys is bounded by a list in the
     program (features, models), which allows their brackets to be broadcast.
@@ -88,40 +103,47 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", lows + highs, accuracy).alias("_b"))
     # a group of at most ``accuracy`` values is counted whole
-    few = F.col("_n") <= accuracy
-    brackets = brackets.select(*keys, "_n", F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(p).alias("p"),
-            (F.col("_min") if lows[i] <= 0 else
-             F.when(few, F.col("_min")).otherwise(F.col("_b")[i])).alias("lo"),
-            (F.col("_max") if highs[i] >= 1 else
-             F.when(few, F.col("_max")).otherwise(F.col("_b")[len(probs) + i])).alias("hi"))
-        for i, p in enumerate(probs)]).alias("_q"))
-    brackets_side = F.broadcast(brackets) if few_keys else brackets
+    few, b = F.col("_n") <= accuracy, F.col("_b")
+    low = [F.col("_min") if p <= 0 else F.when(few, F.col("_min")).otherwise(b[i])
+           for i, p in enumerate(lows)]
+    high = [F.col("_max") if p >= 1 else F.when(few, F.col("_max")).otherwise(b[len(probs) + i])
+            for i, p in enumerate(highs)]
+    brackets = brackets.select(
+        *keys, "_n", F.array_sort(F.array_distinct(F.array(*low, *high))).alias("_ends"),
+        F.array_distinct(F.array(*[F.struct(lo.alias("lo"), hi.alias("hi"))
+                                   for lo, hi in zip(low, high)])).alias("_q"))
+    side = F.broadcast(brackets) if few_keys else brackets
     v = F.col("_v")
-    slots = (data.join(brackets_side, keys)
-             .withColumn("_s", F.explode(F.filter("_q", lambda q: v <= q.hi)))
-             .select(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.p").alias("_p"),
-                     F.when(v >= F.col("_s.lo"), v).otherwise(F.lit(float("-inf")))
-                     .alias("_slot"))
-             .groupBy(*keys, "_i", "_p", "_n", "_slot").agg(F.count("*").alias("_c")))
-    order = (W.partitionBy(*keys, "_i", "_p", "_n").orderBy("_slot")
-             .rowsBetween(W.unboundedPreceding, 0))
-    ranked = slots.withColumn("_cum", F.sum("_c").over(order))
-    # 0-based ranks on both sides of the wanted position
-    position = (F.col("_n") - 1) * F.col("_p")
-    lower, upper = F.floor(position), F.ceil(position)
-    at_low = F.min(F.when(F.col("_cum") > lower, F.col("_slot")))
-    at_high = F.min(F.when(F.col("_cum") > upper, F.col("_slot")))
-    picked = (ranked.groupBy(*keys, "_i", "_p", "_n")
-              .agg(at_low.alias("_lo"), at_high.alias("_hi")))
-    inside = (F.col("_lo") > F.lit(float("-inf"))) & F.col("_hi").isNotNull()
-    weight = position - lower
-    quantile = F.when(
-        inside, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * weight
-    ).otherwise(F.raise_error(F.lit("rank outside its bracket: raise the accuracy"))
-                .cast("double"))
-    result = (picked.withColumn("_value", quantile)
+    # of a cell that lies outside of the brackets, at most its greatest value is inside of one
+    slots = (data.join(side, keys)
+             .select(*keys, "_n", F.size(F.filter("_ends", lambda e: e < v)).alias("_at"),
+                     F.when(F.exists("_q", lambda q: (v >= q.lo) & (v <= q.hi)), v)
+                     .otherwise(F.lit(float("-inf"))).alias("_slot"))
+             .groupBy(*keys, "_n", "_at", "_slot").agg(F.count("*").alias("_c")))
+    order = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    earlier = (slots.groupBy(*keys, "_at").agg(F.sum("_c").alias("_t"))
+               .select(*keys, "_at", F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_e")))
+    sums = prefix_sums(slots, [*keys, "_n", "_at"], "_slot", {"_k": F.sum("_c")}, buckets=64)
+    upto = F.col("cum__k") + F.col("_e")
+    # 0-based ranks on both sides of every wanted position
+    position = [(F.col("_n") - 1) * F.lit(p) for p in probs]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
+                                rank(x).cast("long").alias("rank"))
+                       for i, x in enumerate(position)
+                       for side, rank in ((0, F.floor), (1, F.ceil))])
+    found = F.when(F.col("_slot") > F.lit(float("-inf")), F.col("_slot")).otherwise(
+        F.raise_error(F.lit("rank outside its bracket: raise the accuracy")).cast("double"))
+    hits = (sums.join(earlier, [*keys, "_at"])
+            .withColumn("_w", F.explode(F.filter(wanted, lambda w: (
+                w.rank < upto) & (w.rank >= upto - F.col("_k")))))
+            .select(*keys, "_n", F.col("_w.i").alias("_i"), F.col("_w.side").alias("_side"),
+                    found.alias("_x")))
+    lower, upper = (F.max(F.when(F.col("_side") == k, F.col("_x"))) for k in (0, 1))
+    picked = hits.groupBy(*keys, "_n", "_i").agg(lower.alias("_lo"), upper.alias("_hi"))
+    share = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
+    at = (F.col("_n") - 1) * share
+    result = (picked.withColumn("_value", F.col("_lo") + (F.col("_hi") - F.col("_lo"))
+                                * (at - F.floor(at)))
               .groupBy(*keys)
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_value"))),
                                lambda s: s["_value"]).alias("quantiles")))

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeflow.config import (ANOMALY_FEATURES, ASSET, DRIFT_FEATURES, EARLY_MODEL,
-                              FAILURE_FEATURES, MINUTE, READING_TIME, TARGETS,
+                              FAILURE_FEATURES, MINUTE, RANGED, READING_TIME, TARGETS,
                               ZSCORE_SIGNALS)
 from gaugeflow.operators import (aggregate, anomaly, attribution, decisions, episodes,
                                  intervals, labels, metrics, models, monitoring, prep,
@@ -20,7 +20,6 @@ from gaugeflow.sources.telemetry import fleet_schema, scan_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = (ASSET, MINUTE)
-RANGED = ("tp2", "tp3", "reservoirs", "oil_temperature", "flowmeter", "motor_current")
 # weights of the linear attribution query, by position in the feature list
 LINEAR_WEIGHTS = {c: (1.0 if i % 2 == 0 else -1.0) * (i + 1) / 10.0
                   for i, c in enumerate(ANOMALY_FEATURES)}

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeflow.config import (ANOMALY_FEATURES, ASSET, DRIFT_FEATURES, EARLY_MODEL,
-                              FAILURE_FEATURES, MINUTE, STUDY_2022, TARGETS, Calendar)
-from gaugeflow.operators import (aggregate, anomaly, decisions, episodes, labels, metrics,
-                                 models, monitoring, prep, rolling)
-from gaugeflow.session import local_table, use_utc
+                              FAILURE_FEATURES, MINUTE, NEAR_MODEL, RANGED, READING_TIME,
+                              STUDY_2022, TARGETS, Calendar)
+from gaugeflow.operators import (aggregate, anomaly, attribution, decisions, episodes, intervals,
+                                 labels, metrics, models, monitoring, prep, profile, rolling,
+                                 validation)
+from gaugeflow.session import use_utc
 from gaugeflow.sources import sinks
 
 HORIZONS = {"6h": 6.0, "12h": 12.0, "24h": 24.0}
@@ -36,8 +39,18 @@ class Layers:
         sinks.write_parquet(df, self.path(name), time_col)
         return self.get(name)
 
-    def get(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name)).drop("event_date")
+    def get(self, name: str, since: datetime | None = None,
+            until: datetime | None = None) -> DataFrame:
+        """A layer; the bounds leave out whole days, so that their folders are not opened.
+
+        Rows of the days in which the bounds fall all come; a time filter does the rest.
+        """
+        table = self.spark.read.parquet(self.path(name))
+        if since is not None:
+            table = table.filter(F.col("event_date") >= F.lit(since.date()))
+        if until is not None:
+            table = table.filter(F.col("event_date") <= F.lit(until.date()))
+        return table.drop("event_date")
 
     def report(self, name: str, df: DataFrame, one_file: bool = True) -> DataFrame:
         """A result table: Parquet for later steps and CSV for people.
@@ -51,6 +64,16 @@ class Layers:
         return table
 
 
+def build_profile(layers: Layers, readings: DataFrame, failures: DataFrame) -> None:
+    """What the source holds: columns, totals, value ranges, readings per failure."""
+    layers.report("profile_columns", profile.schema_profile(readings))
+    layers.report("warehouse_summary", profile.warehouse_summary(readings))
+    layers.report("sensor_ranges", profile.value_ranges(readings, RANGED))
+    layers.report("failure_reading_counts", intervals.count_in_intervals(
+        readings, failures, "start_time", "end_time", ["event_id"], time_col=READING_TIME,
+        name="readings"), one_file=False)
+
+
 def build_features(layers: Layers, readings: DataFrame, failures: DataFrame) -> DataFrame:
     """Minute aggregate with labels, then the rolling feature layer."""
     failures = layers.put("failure_events", failures)
@@ -67,20 +90,22 @@ def build_anomalies(layers: Layers, calendar: Calendar = STUDY_2022,
     table = layers.get("sensor_rolling_features")
     rows = prep.scoring_rows(table, calendar.min_coverage)
     is_healthy = prep.healthy(calendar.baseline_end)
-    baseline = rows.filter(is_healthy)
+    baseline = prep.scoring_rows(layers.get(
+        "sensor_rolling_features", until=calendar.baseline_end),
+        calendar.min_coverage).filter(is_healthy)
     medians = prep.fit_medians(baseline, features)
     scaler = prep.fit_scaler(prep.impute(baseline, medians), features)
-    layers.put("anomaly_model/features", local_table(
-        layers.spark, [(c, medians[c], *scaler[c]) for c in features],
-        "feature string, median double, mean double, std double"))
     ready = prep.standardize(prep.impute(rows, medians), scaler)
-    nodes = layers.put("anomaly_model/nodes", anomaly.fit_isolation_forest(
+    nodes = layers.put("anomaly_nodes", anomaly.fit_isolation_forest(
         ready.filter(is_healthy), features, trees=trees, sample=sample))
     scored = layers.put("anomaly_raw_scores", anomaly.score_isolation_forest(
         ready, nodes, features).select(
         ASSET, MINUTE, "anomaly_score", is_healthy.cast("int").alias("is_healthy")), MINUTE)
-    threshold = layers.put("anomaly_model/threshold", anomaly.score_threshold(
+    threshold = layers.put("anomaly_threshold", anomaly.score_threshold(
         scored.filter(F.col("is_healthy") == 1)))
+    anomaly.AnomalyModel(tuple(features), medians, scaler, nodes,
+                         threshold.first()["alert_threshold"], calendar.baseline_end).save(
+        layers.path("anomaly_model"))
     scores = layers.put("anomaly_scores", anomaly.baseline_percentile(
         anomaly.flag_anomalies(scored, threshold), "is_healthy").drop("is_healthy"), MINUTE)
     return layers.put("sensor_anomaly_features", anomaly.attach_scores(table, scores), MINUTE)
@@ -109,8 +134,7 @@ def build_predictions(layers: Layers, calendar: Calendar = STUDY_2022,
         predictions.filter(F.col("split") == "test").drop("split"), thresholds), MINUTE)
     limits = {(r["horizon"], r["model"]): r["alert_threshold"] for r in thresholds.collect()}
     for f in fitted:
-        slug = f.name.lower().replace(" ", "-")
-        models.save_model(layers.spark, f, layers.path(f"models/{f.horizon}/{slug}"),
+        models.save_model(layers.spark, f, model_path(layers, f.horizon, f.name),
                           limits.get((f.horizon, f.name)), calendar.train_end,
                           calendar.calibration_end)
     layers.report("model_comparison", metrics.model_comparison(
@@ -119,10 +143,66 @@ def build_predictions(layers: Layers, calendar: Calendar = STUDY_2022,
     return alerts
 
 
+def model_path(layers: Layers, horizon: str, name: str) -> str:
+    return layers.path(f"models/{horizon}/{name.lower().replace(' ', '-')}")
+
+
+def build_explanations(layers: Layers, calendar: Calendar = STUDY_2022,
+                       explained: Sequence[tuple[tuple[str, str], float]] = (
+                           (EARLY_MODEL, 24), (NEAR_MODEL, 1))) -> None:
+    """Attributions of the stored models in the hours before each focus failure.
+
+    Per model: its attributions, their importance, the first alert with what drove it,
+    and a summary. The test rows are scaled and imputed with the model's own constants.
+    """
+    focus = layers.get("failure_events").filter(F.col("event_id") == calendar.focus_event)
+    test = prep.chrono_split(prep.modelling_rows(
+        layers.get("sensor_anomaly_features", since=calendar.calibration_end),
+        calendar.min_coverage), calendar.train_end, calendar.calibration_end
+    ).filter(F.col("split") == "test")
+    for (horizon, name), hours in explained:
+        fitted, _ = models.load_model(layers.spark, model_path(layers, horizon, name))
+        ready = fitted.prepare(test.select(ASSET, MINUTE, *fitted.features))
+        window = attribution.explanation_window(ready, focus, hours)
+        if fitted.scaled:
+            found = attribution.linear_attribution(
+                window, ready, models.coefficients(fitted), (ASSET, MINUTE))
+        else:
+            leaves = layers.put(f"explanations/{horizon}/leaves", attribution.forest_leaves(
+                fitted.model, layers.spark))
+            found = attribution.tree_attribution(window, leaves, fitted.features,
+                                                 (ASSET, MINUTE), fitted.model.getNumTrees)
+        found = layers.put(f"explanations/{horizon}/attributions", found, MINUTE)
+        layers.report(f"explanations/{horizon}/importance", attribution.importance(found))
+        alerts = layers.get("failure_predictions", since=calendar.calibration_end).filter(
+            (F.col("horizon") == horizon) & (F.col("model") == name))
+        first = layers.report(
+            f"explanations/{horizon}/first_alerts", attribution.first_alert_explanation(
+                found, attribution.first_alerts(alerts, focus, hours)), one_file=False)
+        layers.report(f"explanations/{horizon}/summary",
+                      attribution.explanation_summary(first, name), one_file=False)
+
+
+def build_validation(layers: Layers, calendar: Calendar = STUDY_2022) -> None:
+    """Coverage and gaps before the failures, model behaviour and labels before the focus."""
+    failures = layers.get("failure_events")
+    focus = failures.filter(F.col("event_id") == calendar.focus_event)
+    rows = prep.modelling_rows(layers.get("sensor_anomaly_features"), calendar.min_coverage)
+    alerts = layers.get("failure_predictions")
+    for name, table in (
+            ("window_coverage", validation.window_coverage(rows, failures, HORIZONS)),
+            ("largest_gap", validation.largest_gap(rows, failures, HORIZONS)),
+            ("prediction_behaviour", validation.prediction_behaviour(alerts, focus, HORIZONS)),
+            ("positive_distribution", validation.positive_distribution(rows, focus))):
+        layers.report(f"validation/{name}", table, one_file=False)
+
+
 def build_decisions(layers: Layers, calendar: Calendar = STUDY_2022) -> DataFrame:
     """Risk levels, alert episodes and the cost roll-up."""
     focus = layers.get("failure_events").filter(F.col("event_id") == calendar.focus_event)
-    rows = prep.modelling_rows(layers.get("sensor_anomaly_features"), calendar.min_coverage)
+    rows = prep.modelling_rows(
+        layers.get("sensor_anomaly_features", since=calendar.calibration_end),
+        calendar.min_coverage)
     table = layers.put("maintenance_decisions", decisions.decide(decisions.fuse_predictions(
         rows, layers.get("failure_predictions"), calendar.calibration_end)), MINUTE)
     merged = layers.report("maintenance_alert_episodes", episodes.flag_failure_related(
@@ -150,9 +230,13 @@ def build_monitoring(layers: Layers, calendar: Calendar = STUDY_2022,
 def run_all(spark: SparkSession, folder: str, readings: DataFrame, failures: DataFrame,
             calendar: Calendar = STUDY_2022, **training) -> Layers:
     layers = Layers(use_utc(spark), folder)
+    build_profile(layers, readings, failures)
     build_features(layers, readings, failures)
     build_anomalies(layers, calendar)
-    build_predictions(layers, calendar, **training)
+    if build_predictions(layers, calendar, **training) is None:
+        return layers
+    build_validation(layers, calendar)
+    build_explanations(layers, calendar)
     build_decisions(layers, calendar)
     build_monitoring(layers, calendar)
     return layers

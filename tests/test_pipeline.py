@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from check_oracle import compare, duck
 from gaugeflow.config import CSV_COLUMNS
-from gaugeflow.operators import models
+from gaugeflow.operators import anomaly, models
 from gaugeflow.plans.eventlog import CALENDAR, EventLogStudy
 from gaugeflow.plans.layers import run_all
 from gaugeflow.session import shared_folder
@@ -39,6 +39,25 @@ def test_every_layer_is_written(spark):
     baseline = layers.get("anomaly_scores").filter("minute_timestamp < '2024-01-09'")
     assert 0.5 <= baseline.agg(F.avg("anomaly_flag")).first()[0] * 100 <= 1.5
     assert (Path(layers.path("reports/model_comparison")) / "_SUCCESS").exists()
+    focus = study.focus.count()
+    for horizon, features in (("24h", 57), ("6h", 57)):
+        summary = layers.get(f"explanations/{horizon}/summary")
+        assert {"model", "hours_before_failure", "failure_probability", "threshold",
+                "top_driver_1", "top_driver_3"} <= set(summary.columns)
+        assert summary.count() <= focus
+        assert layers.get(f"explanations/{horizon}/importance").count() in (0, features)
+    assert layers.get("explanations/24h/importance").count() == 57
+    assert layers.get("validation/window_coverage").count() == 3 * study.failures.count()
+    assert layers.get("warehouse_summary").first()["row_count"] == study.readings.count()
+    stored = anomaly.AnomalyModel.load(spark, layers.path("anomaly_model"))
+    assert stored.baseline_end == CALENDAR.baseline_end
+    again = stored.score(layers.get("sensor_rolling_features").filter("coverage_6h >= 0.04"))
+    kept = layers.get("anomaly_scores").select("asset_id", "minute_timestamp", "anomaly_score",
+                                               "anomaly_flag")
+    assert again.exceptAll(kept).count() == 0 == kept.exceptAll(again).count()
+    plan = layers.get("sensor_anomaly_features", since=CALENDAR.calibration_end
+                      )._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
 
 
 @needs_data
