@@ -80,11 +80,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                     accuracy: int = SKETCH_ACCURACY, few_keys: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles: one array column ``quantiles`` per key.
 
-    A mergeable sketch first brackets every wanted rank.  In the second pass each value
-    falls into one cell between the ends of the brackets; values outside of all
-    brackets collapse into one counted row per cell, and only those inside, about
-    ``8 / accuracy`` of the rows per rank, are counted one by one and summed up in value
-    order by ``prefix_sums``.  NULLs are ignored.
+    A mergeable sketch first brackets every wanted rank.  In the second pass all
+    values below a bracket collapse into one counted row, those above it are
+    dropped, and only the values inside, about ``8 / accuracy`` of the rows, are
+    counted one by one and put in order per key and rank; a greater ``accuracy`` keeps
+    these few where keys have very many values.  NULLs are ignored.
 
     ``few_keys`` says that the number of keys is bounded by a list in the
     program (features, models), which allows their brackets to be broadcast.
@@ -103,47 +103,40 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", lows + highs, accuracy).alias("_b"))
     # a group of at most ``accuracy`` values is counted whole
-    few, b = F.col("_n") <= accuracy, F.col("_b")
-    low = [F.col("_min") if p <= 0 else F.when(few, F.col("_min")).otherwise(b[i])
-           for i, p in enumerate(lows)]
-    high = [F.col("_max") if p >= 1 else F.when(few, F.col("_max")).otherwise(b[len(probs) + i])
-            for i, p in enumerate(highs)]
-    brackets = brackets.select(
-        *keys, "_n", F.array_sort(F.array_distinct(F.array(*low, *high))).alias("_ends"),
-        F.array_distinct(F.array(*[F.struct(lo.alias("lo"), hi.alias("hi"))
-                                   for lo, hi in zip(low, high)])).alias("_q"))
-    side = F.broadcast(brackets) if few_keys else brackets
+    few = F.col("_n") <= accuracy
+    brackets = brackets.select(*keys, "_n", F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.lit(p).alias("p"),
+            (F.col("_min") if lows[i] <= 0 else
+             F.when(few, F.col("_min")).otherwise(F.col("_b")[i])).alias("lo"),
+            (F.col("_max") if highs[i] >= 1 else
+             F.when(few, F.col("_max")).otherwise(F.col("_b")[len(probs) + i])).alias("hi"))
+        for i, p in enumerate(probs)]).alias("_q"))
+    brackets_side = F.broadcast(brackets) if few_keys else brackets
     v = F.col("_v")
-    # of a cell that lies outside of the brackets, at most its greatest value is inside of one
-    slots = (data.join(side, keys)
-             .select(*keys, "_n", F.size(F.filter("_ends", lambda e: e < v)).alias("_at"),
-                     F.when(F.exists("_q", lambda q: (v >= q.lo) & (v <= q.hi)), v)
-                     .otherwise(F.lit(float("-inf"))).alias("_slot"))
-             .groupBy(*keys, "_n", "_at", "_slot").agg(F.count("*").alias("_c")))
-    order = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    earlier = (slots.groupBy(*keys, "_at").agg(F.sum("_c").alias("_t"))
-               .select(*keys, "_at", F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_e")))
-    sums = prefix_sums(slots, [*keys, "_n", "_at"], "_slot", {"_k": F.sum("_c")}, buckets=64)
-    upto = F.col("cum__k") + F.col("_e")
-    # 0-based ranks on both sides of every wanted position
-    position = [(F.col("_n") - 1) * F.lit(p) for p in probs]
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
-                                rank(x).cast("long").alias("rank"))
-                       for i, x in enumerate(position)
-                       for side, rank in ((0, F.floor), (1, F.ceil))])
-    found = F.when(F.col("_slot") > F.lit(float("-inf")), F.col("_slot")).otherwise(
-        F.raise_error(F.lit("rank outside its bracket: raise the accuracy")).cast("double"))
-    hits = (sums.join(earlier, [*keys, "_at"])
-            .withColumn("_w", F.explode(F.filter(wanted, lambda w: (
-                w.rank < upto) & (w.rank >= upto - F.col("_k")))))
-            .select(*keys, "_n", F.col("_w.i").alias("_i"), F.col("_w.side").alias("_side"),
-                    found.alias("_x")))
-    lower, upper = (F.max(F.when(F.col("_side") == k, F.col("_x"))) for k in (0, 1))
-    picked = hits.groupBy(*keys, "_n", "_i").agg(lower.alias("_lo"), upper.alias("_hi"))
-    share = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
-    at = (F.col("_n") - 1) * share
-    result = (picked.withColumn("_value", F.col("_lo") + (F.col("_hi") - F.col("_lo"))
-                                * (at - F.floor(at)))
+    slots = (data.join(brackets_side, keys)
+             .withColumn("_s", F.explode(F.filter("_q", lambda q: v <= q.hi)))
+             .select(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.p").alias("_p"),
+                     F.when(v >= F.col("_s.lo"), v).otherwise(F.lit(float("-inf")))
+                     .alias("_slot"))
+             .groupBy(*keys, "_i", "_p", "_n", "_slot").agg(F.count("*").alias("_c")))
+    order = (W.partitionBy(*keys, "_i", "_p", "_n").orderBy("_slot")
+             .rowsBetween(W.unboundedPreceding, 0))
+    ranked = slots.withColumn("_cum", F.sum("_c").over(order))
+    # 0-based ranks on both sides of the wanted position
+    position = (F.col("_n") - 1) * F.col("_p")
+    lower, upper = F.floor(position), F.ceil(position)
+    at_low = F.min(F.when(F.col("_cum") > lower, F.col("_slot")))
+    at_high = F.min(F.when(F.col("_cum") > upper, F.col("_slot")))
+    picked = (ranked.groupBy(*keys, "_i", "_p", "_n")
+              .agg(at_low.alias("_lo"), at_high.alias("_hi")))
+    inside = (F.col("_lo") > F.lit(float("-inf"))) & F.col("_hi").isNotNull()
+    weight = position - lower
+    quantile = F.when(
+        inside, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * weight
+    ).otherwise(F.raise_error(F.lit("rank outside its bracket: raise the accuracy"))
+                .cast("double"))
+    result = (picked.withColumn("_value", quantile)
               .groupBy(*keys)
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_value"))),
                                lambda s: s["_value"]).alias("quantiles")))
