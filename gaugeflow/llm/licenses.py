@@ -1,7 +1,8 @@
 """License scan by sentence rules.
 
 A text is cut into sentences, each is normalised, and sentences known from licenses get an
-identifier. The sequence of identifiers of a text is then matched against ordered rules, the
+identifier. A text is one string with marks between its sentences, in which each pattern in turn
+replaces the sentences it matches. The sequence of identifiers of a text is then matched against ordered rules, the
 longest first: a rule that fits replaces its identifiers by the name of a license, so
 no sentence counts twice. What is left over are license sentences without a known license.
 
@@ -10,13 +11,12 @@ Everything happens inside a row with built-in functions, so nothing is shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.llm.common import free_name
 
-# Words without which a text has no license sentence.
+# Words of the SQL twin, which reads only the sentences that hold one of them. The
+# scan itself reads all sentences.
 KEYWORDS = ("licen", "copyright", "redistribut", "warrant", "permission", "public domain", "spdx",
             "free software", "all rights reserved", "applicable law", "permitted", "endorse",
             "advertising materials", "be liable")
@@ -110,10 +110,18 @@ RULES = (
     ("$1", r"Spdx=([^;]*);"),
 )
 
+# Every alternative of every pattern above contains one of these, so a text
+# without them has no identifier and is not searched pattern by pattern.
+HINTS = ("licen[sc]e", "gpl", "mpl", "copyright", r"\(c\) ", "permission", "permitted", "redistribution",
+         "software is provided", "applicable law", "be liable", "advertising materials", "endorse",
+         "hope that it will be useful", "public domain", "cc0", "cc[ -](?:by|attribution)",
+         "creative commons", "all rights reserved")
+
 # comment signs and list marks at the start of a line
 _LEADERS = r"(^|\n)[ \t]*(?://+|/?\*+/?|#+|;+|--+|[(]?[0-9a-z][.)])[ \t]*"
 _SENTENCE_END = r"([.!?])[\"')]*\s+|\n[ \t\r]*\n\s*|\n[ \t]*(\p{Lu})"
-_MARK = "\u0001"
+# between sentences, and around an identifier that stands for a sentence
+_MARK, _OPEN, _CLOSE = "\u0001", "\u0003", "\u0004"
 
 
 def _plain(pattern: str) -> str:
@@ -138,30 +146,53 @@ def _plain(pattern: str) -> str:
 KNOWN = tuple((name, _plain(p)) for name, p in SENTENCES)
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text that hold one of the keywords, in order."""
-    cut = F.regexp_replace(F.regexp_replace(text, _LEADERS, "$1"), _SENTENCE_END,
-                           f"$1{_MARK}$2")
-    plain = F.transform(F.split(cut, _MARK), lambda s: F.trim(F.regexp_replace(
-        F.regexp_replace(F.lower(s), "[\"'“”‘’`]", ""), r"\s+", " ")))
-    return F.filter(plain, lambda s: _has_keyword(s))
+def _marked(pattern: str) -> str:
+    """A pattern over a sentence as one over a text of marked sentences."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if c == "[":
+            end = pattern.index("]", i)
+            out.append(pattern[i:end + 1])
+            i = end + 1
+            continue
+        if c == "^":
+            out.append(_START)
+        elif pattern.startswith(".*", i):
+            out.append(f"[^{_MARK}{_OPEN}]*?")
+            i += 1
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
 
 
-def _has_keyword(lowered: Column) -> Column:
-    return reduce(lambda a, b: a | b, [lowered.contains(F.lit(w)) for w in KEYWORDS])
+# the start of a sentence, and the rest of one
+_START = f"(?<![^{_MARK}])"
+_REST = f"[^{_MARK}{_OPEN}]*"
+_HINT = "|".join(_marked(h) for h in HINTS)
+
+
+def normalised(text: Column) -> Column:
+    """A text in lower case without quotes, its sentences normalised and set apart by marks."""
+    clean = F.translate(text, _OPEN + _CLOSE, "  ")
+    cut = F.regexp_replace(F.regexp_replace(clean, _LEADERS, "$1"), _SENTENCE_END,
+                           f"$1{_MARK}$2")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(cut), "[\"'“”‘’`]", ""), r"\s+", " ")
+    return F.trim(F.regexp_replace(plain, f" ?({_MARK}) ?", "$1"))
 
 
-def sentence_id(sentence: Column) -> Column:
-    """The identifier of a normalised sentence; NULL if it is not known."""
-    found = None
+def identified(normal: Column) -> Column:
+    """The normalised text with the identifier in place of every sentence that is known."""
     for name, pattern in KNOWN:
-        value = F.lit(name)
-        if "{1}" in name:
-            value = F.concat(F.lit(name.replace("{1}", "")), F.replace(
-                F.regexp_extract(sentence, pattern, 1), F.lit(" "), F.lit("-")))
-        found = F.when(sentence.rlike(pattern), value) if found is None \
-            else found.when(sentence.rlike(pattern), value)
-    return found
+        normal = F.regexp_replace(
+            normal, f"{_START}{_REST}?(?:{_marked(pattern)}){_REST}",
+            f"{_OPEN}{name.replace('{1}', '$1')};{_CLOSE}")
+    return normal
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -171,10 +202,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     each once, in order of appearance, joined by ``,``; ``n_unmatched`` the license sentences (but
     copyright lines) that no rule used. A NULL or empty text has none: '', '' and 0.
     """
-    known = F.filter(F.transform(sentences(F.col(text)), sentence_id), lambda i: i.isNotNull())
-    ids = F.when(_has_keyword(F.lower(F.col(text))), F.array_join(
-        F.transform(known, lambda i: F.concat(i, F.lit(";"))), "")).otherwise(F.lit(""))
-    i, r = free_name(docs, "_ids"), free_name(docs, "_named")
+    i, r, t = (free_name(docs, c) for c in ("_ids", "_named", "_normal"))
+    found = F.regexp_extract_all(identified(F.col(t)), F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), F.lit(1))
+    ids = F.when(F.col(t).rlike(_HINT), F.translate(F.array_join(found, ""), " ", "-")).otherwise("")
     named = F.col(i)
     for name, pattern in RULES:
         named = F.regexp_replace(named, pattern, f"<{name}>")
@@ -183,8 +213,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                     lambda s: s != "Copyright")
     out = F.struct(F.col(i).alias("sentence_ids"), F.upper(F.array_join(names, ",")).alias(
         "licenses"), F.size(left).cast("long").alias("n_unmatched"))
-    return (docs.withColumn(i, ids).withColumn(r, F.when(F.col(i) == "", F.lit("")).otherwise(named))
-            .withColumn(free_name(docs, "license"), out).drop(i, r))
+    return (docs.withColumn(t, normalised(F.col(text))).withColumn(i, ids).withColumn(r, F.when(F.col(i) == "", F.lit("")).otherwise(named))
+            .withColumn(free_name(docs, "license"), out).drop(i, r, t))
 
 
 def oracle() -> str:
