@@ -2,7 +2,7 @@
 
 A text is cut into sentences, each is normalised, and sentences known from licenses get an
 identifier. A text is one string with marks between its sentences, in which each pattern in turn
-replaces the sentences it matches. The sequence of identifiers of a text is then matched against ordered rules, the
+replaces the sentences (and the lines that one is wrapped over) it matches. The sequence of identifiers of a text is then matched against ordered rules, the
 longest first: a rule that fits replaces its identifiers by the name of a license, so
 no sentence counts twice. What is left over are license sentences without a known license.
 
@@ -119,9 +119,11 @@ HINTS = ("licen[sc]e", "gpl", "mpl", "copyright", r"\(c\) ", "permission", "perm
 
 # comment signs and list marks at the start of a line
 _LEADERS = r"(^|\n)[ \t]*(?://+|/?\*+/?|#+|;+|--+|[(]?[0-9a-z][.)])[ \t]*"
-_SENTENCE_END = r"([.!?])[\"')]*\s+|\n[ \t\r]*\n\s*|\n[ \t]*(\p{Lu})"
-# between sentences, and around an identifier that stands for a sentence
-_MARK, _OPEN, _CLOSE = "\u0001", "\u0003", "\u0004"
+_END = r"([.!?])[\"')]*\s+|\n[ \t\r]*\n\s*"
+_CAPITAL = r"\n[ \t]*(\p{Lu})"
+_SENTENCE_END = f"{_END}|{_CAPITAL}"  # of the SQL twin
+# between sentences, before a line that may start one, and around an identifier that stands for a sentence
+_MARK, _LINE, _OPEN, _CLOSE = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def _plain(pattern: str) -> str:
@@ -147,7 +149,11 @@ KNOWN = tuple((name, _plain(p)) for name, p in SENTENCES)
 
 
 def _marked(pattern: str) -> str:
-    """A pattern over a sentence as one over a text of marked sentences."""
+    """A pattern over a sentence as one over a text of marked sentences.
+
+    A line that begins with a capital letter may start a sentence or go on with one: patterns
+    may begin at it and may run over it.
+    """
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
@@ -157,14 +163,16 @@ def _marked(pattern: str) -> str:
             continue
         if c == "[":
             end = pattern.index("]", i)
-            out.append(pattern[i:end + 1])
+            out.append(pattern[i:end + 1].replace(" ", f" {_LINE}"))
             i = end + 1
             continue
         if c == "^":
             out.append(_START)
         elif pattern.startswith(".*", i):
-            out.append(f"[^{_MARK}{_OPEN}]*?")
+            out.append(_ANY)
             i += 1
+        elif c == " ":
+            out.append(f"[ {_LINE}]")
         else:
             out.append(c)
         i += 1
@@ -172,18 +180,19 @@ def _marked(pattern: str) -> str:
 
 
 # the start of a sentence, and the rest of one
-_START = f"(?<![^{_MARK}])"
-_REST = f"[^{_MARK}{_OPEN}]*"
+_START = f"(?<![^{_MARK}{_LINE}])"
+_REST = f"[^{_MARK}{_LINE}{_OPEN}]*"
+# anything inside a line; else over lines, but not where the next one names a license of its own
+_ANY = (f"(?:{_REST}?|(?!{_REST}{_LINE}{_REST}(?:gpl|public licen[sc]e))[^{_MARK}{_OPEN}]*?)")
 _HINT = "|".join(_marked(h) for h in HINTS)
 
 
 def normalised(text: Column) -> Column:
     """A text in lower case without quotes, its sentences normalised and set apart by marks."""
-    clean = F.translate(text, _OPEN + _CLOSE, "  ")
-    cut = F.regexp_replace(F.regexp_replace(clean, _LEADERS, "$1"), _SENTENCE_END,
-                           f"$1{_MARK}$2")
+    clean = F.regexp_replace(F.translate(text, _LINE + _OPEN + _CLOSE, "   "), _LEADERS, "$1")
+    cut = F.regexp_replace(F.regexp_replace(clean, _END, f"$1{_MARK}"), _CAPITAL, f"{_LINE}$1")
     plain = F.regexp_replace(F.regexp_replace(F.lower(cut), "[\"'“”‘’`]", ""), r"\s+", " ")
-    return F.trim(F.regexp_replace(plain, f" ?({_MARK}) ?", "$1"))
+    return F.trim(F.regexp_replace(plain, f" ?([{_MARK}{_LINE}]) ?", "$1"))
 
 
 def identified(normal: Column) -> Column:
@@ -204,7 +213,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     i, r, t = (free_name(docs, c) for c in ("_ids", "_named", "_normal"))
     found = F.regexp_extract_all(identified(F.col(t)), F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), F.lit(1))
-    ids = F.when(F.col(t).rlike(_HINT), F.translate(F.array_join(found, ""), " ", "-")).otherwise("")
+    ids = F.when(F.col(t).rlike(_HINT), F.translate(F.array_join(found, ""), f" {_LINE}", "--")).otherwise("")
     named = F.col(i)
     for name, pattern in RULES:
         named = F.regexp_replace(named, pattern, f"<{name}>")

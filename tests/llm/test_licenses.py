@@ -69,3 +69,78 @@ def test_every_sentence_gets_its_identifier(frame):
     assert len(ONE_EACH) == len(licenses.SENTENCES)
     found = licenses.scan(frame([(t,) for t in want], "text string")).collect()
     assert {r.text: r.license.sentence_ids for r in found} == want
+
+
+LGPL = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+ *
+ * You should have received a copy of the GNU Lesser General Public
+ * License along with this library; if not, write to the Free Software
+ * Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA
+ */"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES."""
+WRAPPED = {
+    LGPL: ("LgplLater2.1;GnuNoWarranty;GnuDetails;GnuReceived;", "LGPL-2.1-OR-LATER"),
+    MPL: ("MplRef;MplObtain;", "MPL-2.0"),
+    MIT: ("MitGrant;MitNotice;MitAsIs;MitLiability;", "MIT"),
+    BSD: ("BsdIntro;BsdSource;BsdBinary;BsdEndorse;BsdAsIs;BsdLiability;", "BSD-3-CLAUSE"),
+    # lines that are sentences of their own stay so
+    "Copyright 2020 X\nLicensed under the MIT License\nAll rights reserved": (
+        "Copyright;MitRef;Copyright;", "MIT"),
+    "LGPL v2.1\nGPL v2 or later": ("GplLater2;", "GPL-2-OR-LATER"),
+    "Some Title\nPermission is hereby granted, free of charge, to any person\nObtaining a copy of "
+    "this software": ("MitGrant;", "MIT"),
+    "GPL 2\n" + "Line Without End\n" * 20_000: ("", ""),
+}
+
+
+def test_wrapped_headers(frame):
+    found = licenses.scan(frame([(t,) for t in WRAPPED], "text string")).collect()
+    assert {r.text: (r.license.sentence_ids, r.license.licenses) for r in found} == WRAPPED
+    assert all(r.license.n_unmatched == 0 for r in found)
