@@ -34,6 +34,8 @@ SMOOTHING = 0.05
 UNDETERMINED = "und"
 # letters without a break that are read as one word; a longer run is several words
 MAX_LETTERS = 48
+# a likelihood below this may have lost digits or have vanished in a double
+LEAST = 1e-200
 # words whose lattices are held at once, and texts whose words are
 WORDS_AT_ONCE = 20_000
 TEXTS_AT_ONCE = 1_000
@@ -123,18 +125,39 @@ class Lattice:
 
 
 def log_likelihoods(lattice: Lattice, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
-    """log P(word | language) for every word (row) and language (column of ``probabilities``)."""
+    """log P(word | language) for every word (row) and language (column of ``probabilities``).
+
+    Words whose likelihood comes near the least number a double holds are worked out in logs.
+    """
     found = []
     for i in range(0, len(words), WORDS_AT_ONCE):
-        first, last, nodes, groups = lattice.edges(words[i:i + WORDS_AT_ONCE])
+        part = words[i:i + WORDS_AT_ONCE]
+        first, last, nodes, groups = lattice.edges(part)
         alpha = np.zeros((nodes, probabilities.shape[1]))
         alpha[first] = 1
         for start, end, piece in groups:
             alpha[end] += alpha[start] * probabilities[piece]
-        found.append(np.log(alpha[last]))
+        whole = alpha[last]
+        small = np.flatnonzero((whole < LEAST).any(axis=1))
+        whole = np.log(np.maximum(whole, LEAST))
+        if len(small):
+            whole[small] = _in_logs(lattice, probabilities, [part[k] for k in small])
+        found.append(whole)
     return np.concatenate(found) if found else np.zeros((0, probabilities.shape[1]))
 
 
+def _in_logs(lattice: Lattice, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
+    """The forward pass in logs, whose sums cannot vanish."""
+    first, last, nodes, groups = lattice.edges(words)
+    with np.errstate(divide="ignore"):
+        logs = np.log(probabilities)
+    alpha = np.full((nodes, probabilities.shape[1]), -np.inf)
+    alpha[first] = 0
+    for start, end, piece in groups:
+        alpha[end] = np.logaddexp(alpha[end], alpha[start] + logs[piece])
+    return alpha[last]
+
+
 def expected_counts(lattice: Lattice, probabilities: np.ndarray, words: list[str],
                     language: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, over all segmentations of ``n`` of each word."""
@@ -150,9 +173,15 @@ def expected_counts(lattice: Lattice, probabilities: np.ndarray, words: list[str
         alpha[first], beta[last] = 1, 1
         for start, end, piece in groups:
             alpha[end] += alpha[start] * probabilities[piece, of[start]]
+        small = np.flatnonzero(alpha[last] < LEAST)
         for start, end, piece in reversed(groups):
             beta[start] += beta[end] * probabilities[piece, of[start]]
-        whole = np.repeat(alpha[last], last - first + 1)
+        if len(small):
+            total += _expected_in_logs(lattice, probabilities, [words[i + k] for k in small],
+                                       language[part][small], n[part][small])
+        safe = alpha[last].copy()
+        safe[small] = np.inf  # counted in logs
+        whole = np.repeat(safe, last - first + 1)
         for start, end, piece in groups:
             uses = (alpha[start] * probabilities[piece, of[start]] * beta[end]
                     / whole[start] * weight[start])
@@ -160,6 +189,27 @@ def expected_counts(lattice: Lattice, probabilities: np.ndarray, words: list[str
     return total
 
 
+def _expected_in_logs(lattice: Lattice, probabilities: np.ndarray, words: list[str],
+                      language: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``expected_counts`` of words whose likelihood a double does not hold."""
+    total = np.zeros(probabilities.shape)
+    first, last, nodes, groups = lattice.edges(words)
+    of, weight = (np.repeat(v, last - first + 1) for v in (language, n))
+    alpha, beta = np.full(nodes, -np.inf), np.full(nodes, -np.inf)
+    alpha[first], beta[last] = 0, 0
+    logs = np.log(probabilities)
+    for start, end, piece in groups:
+        alpha[end] = np.logaddexp(alpha[end], alpha[start] + logs[piece, of[start]])
+    for start, end, piece in reversed(groups):
+        beta[start] = np.logaddexp(beta[start], beta[end] + logs[piece, of[start]])
+    whole = np.repeat(alpha[last], last - first + 1)
+    for start, end, piece in groups:
+        uses = np.exp(alpha[start] + logs[piece, of[start]] + beta[end]
+                      - whole[start]) * weight[start]
+        np.add.at(total, (piece, of[start]), uses)
+    return total
+
+
 @dataclasses.dataclass
 class LanguageModel:
     languages: list[str]
