@@ -7,14 +7,17 @@ threshold; lines above it are content. Content is then widened from lines to the
 stand in, so that a short paragraph or a heading among long ones stays: an article or main element if it
 holds content, else the containers in which most text is content.
 
-Elements that are never article text by their name, role, class or id (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) are left out beforehand.
+Elements that are never article text by their name or role (menus, headers, footers, asides,
+forms, scripts, styles) are left out beforehand. Words of a class or id (sidebar, advert, comments) only
+speak against an element: it stays if it holds an article or most of the text, or reads like the
+article it is in. In an article they do not touch headings, paragraphs and parts of a line.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -52,6 +55,10 @@ DROPPED_WORDS = frozenset(
     "responses search share sharing sidebar sidenav signup skip skyscraper social sponsor sponsored sponsors "
     "subscribe subscription taboola tagcloud teaser teasers toolbar topbar trending widget "
     "widgets".split())
+# of these, the ones that mark other people's text, which may read like an article
+COMMENT_WORDS = frozenset(
+    "comment commentlist comments disqus replies reply respond responses".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # of these, the ones that also hold for an article or main element
 DROPPED_ARTICLES = frozenset(
     "ad ads advert advertisement comment comments promo promoted related reply sponsored "
@@ -72,20 +79,27 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "mute", "main", "rank", "region")
+    __slots__ = ("tag", "dropped", "mute", "main", "rank", "region", "doubt")
 
-    def __init__(self, tag, dropped, mute, main, rank, region):
+    def __init__(self, tag, dropped, mute, main, rank, region, doubt):
         self.tag, self.dropped, self.mute = tag, dropped, mute
-        self.main, self.rank, self.region = main, rank, region
+        self.main, self.rank, self.region, self.doubt = main, rank, region, doubt
 
 
 class PageLines(HTMLParser):
-    """Lines of a page: [text, tags, dropped, number and rank of the main element, region]."""
+    """Lines of a page: [text, tags, dropped, number and rank of the main element, region, doubt].
+
+    A doubt is the number of the innermost element whose class or id speaks against it; ``doubts`` has
+    for each (the doubt around it, the main element around it, whether for a comment word),
+    the outer before the inner. ``doubted`` are the main elements that are in doubt themselves.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int, int]] = []
-        self._open = [_Element("", False, False, 0, 0, 0)]
+        self.lines: list[tuple[str, int, bool, int, int, int, int]] = []
+        self.doubts: list[tuple[int, int, bool]] = [(0, 0, False)]
+        self.doubted: set[int] = set()
+        self._open = [_Element("", False, False, 0, 0, 0, 0)]
         self._owner = self._open[0]
         self._parts: list[str] = []
         self._tags = 1
@@ -112,7 +126,7 @@ class PageLines(HTMLParser):
         text = " ".join("".join(self._parts).split())
         if text:
             e = self._owner
-            self.lines.append((text, self._tags, e.dropped, e.main, e.rank, e.region))
+            self.lines.append((text, self._tags, e.dropped, e.main, e.rank, e.region, e.doubt))
         self._parts, self._tags = [], 1
 
     def _pop_to(self, index: int):
@@ -146,14 +160,20 @@ class PageLines(HTMLParser):
             self._flush()
         self._tags += 1
         top = self._open[-1]
-        dropped, rank = top.dropped, 0
+        dropped, rank, against = top.dropped, 0, frozenset()
         if not dropped:
-            dropped, rank = self._judge(tag, attrs)
+            dropped, rank, against = self._judge(tag, attrs, top.main > 0)
         main, kept = top.main, top.rank
         # the outermost article or main element counts; a better one inside replaces a lesser one
         if rank > kept:
             self._count += 1
             main, kept = self._count, rank
+        doubt = top.doubt
+        if against:
+            self.doubts.append((top.doubt, top.main, bool(against & COMMENT_WORDS)))
+            doubt = len(self.doubts) - 1
+            if main != top.main:
+                self.doubted.add(main)
         region = top.region
         if tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd",
                                         "blockquote", "pre", "tr", "td", "th", "tbody", "thead"):
@@ -161,7 +181,7 @@ class PageLines(HTMLParser):
             region = self._count
         # inside of a line, what is left out has no line of its own: its text is not read
         mute = top.mute or dropped and not top.dropped and tag not in BLOCK
-        self._open.append(_Element(tag, dropped, mute, main, kept, region))
+        self._open.append(_Element(tag, dropped, mute, main, kept, region, doubt))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -200,33 +220,42 @@ class PageLines(HTMLParser):
         pass
 
     @staticmethod
-    def _judge(tag: str, attrs) -> tuple[bool, int]:
-        """Whether an element is left out, and its rank as a main element."""
+    def _judge(tag: str, attrs, within: bool) -> tuple[bool, int, frozenset | set]:
+        """Whether an element is left out, its rank as a main element and the words against it.
+
+        ``within``: it stands in a main element.
+        """
+        none = frozenset()
         if tag in DROPPED:
-            return True, 0
+            return True, 0, none
         rank = {"article": 3, "main": 2}.get(tag, 0)
         if not attrs:
-            return False, rank
+            return False, rank, none
         words: set[str] = set()
+        heading = tag in HEADINGS
         for name, value in attrs:
             if name in ("class", "id"):
-                words.update(w.lower() for w in _WORDS.findall(value or ""))
+                # the id of a heading is made from its text
+                if not (heading and name == "id"):
+                    words.update(w.lower() for w in _WORDS.findall(value or ""))
             elif name == "role":
                 roles = set((value or "").lower().split())
                 if roles & DROPPED_ROLES:
-                    return True, 0
+                    return True, 0, none
                 rank = max(rank, 3 * ("article" in roles), 2 * ("main" in roles))
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True, 0
+                return True, 0, none
             elif name == "style" and _HIDDEN.search(value or ""):
-                return True, 0
+                return True, 0, none
             elif name == "itemprop" and (value or "").lower() == "articlebody":
                 rank = max(rank, 3)
-        if tag not in ("html", "body") and words & (DROPPED_ARTICLES if rank > 1 else DROPPED_WORDS):
-            return True, 0
-        if not rank and tag in ("div", "section", "td") and words & MAIN_WORDS:
+        against = none
+        if tag in BLOCK and tag not in ("html", "body") and not (
+                within and (heading or tag == "p")):
+            against = words & (DROPPED_ARTICLES if rank > 1 else DROPPED_WORDS)
+        if not rank and not against and tag in ("div", "section", "td") and words & MAIN_WORDS:
             rank = 1
-        return False, rank
+        return False, rank, against
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -251,9 +280,52 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def left_out(page: PageLines) -> list[bool]:
+    """By doubt, whether its element is left out.
+
+    An element stays if it holds an article or main element that is not much shorter than the longest, or
+    most of the text. Inside a main element, it stays if it has half as many characters per tag
+    as the rest of that has; comments go.
+    """
+    within: list[Counter] = [Counter() for _ in page.doubts]  # characters by main element
+    tags, own_tags = [0] * len(page.doubts), Counter()
+    articles, mains, total = Counter(), Counter(), 0
+    for text, n_tags, dropped, main, rank, _, doubt in page.lines:
+        if dropped:
+            continue
+        within[doubt][main] += len(text)
+        tags[doubt] += n_tags
+        own_tags[main] += n_tags
+        mains[main] += len(text)
+        total += len(text)
+        if rank > 1 and main not in page.doubted:
+            articles[main] += len(text)
+    for d in range(len(page.doubts) - 1, 0, -1):  # the inner before the outer
+        outer = page.doubts[d][0]
+        within[outer].update(within[d])
+        tags[outer] += tags[d]
+    most = max(articles.values(), default=0)
+    out = [False] * len(page.doubts)
+    for d in range(1, len(page.doubts)):
+        outer, main, comments = page.doubts[d]
+        size = sum(within[d].values())
+        held = any(m != main and 4 * articles[m] >= most for m in within[d] if m in articles)
+        if held or 2 * size > total and not (comments and main):
+            continue
+        rest, rest_tags = mains[main] - within[d][main], own_tags[main] - tags[d]
+        out[d] = out[outer] or comments or not main or 2 * size * rest_tags < rest * tags[d]
+    for d in range(1, len(page.doubts)):
+        out[d] = out[d] or out[page.doubts[d][0]]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main text joined by blank lines; empty if there is none."""
-    lines = PageLines().read(html or "")
+    page = PageLines()
+    lines = page.read(html or "")
+    if page.doubts[1:]:
+        out = left_out(page)
+        lines = [(*line[:2], line[2] or out[line[6]], *line[3:]) for line in lines]
     if not any(not line[2] for line in lines):
         return ""
     sizes = np.array([len(line[0]) for line in lines], float)
