@@ -239,11 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
         return pa.array(found, pa.binary())
 
     sample = F.broadcast(labelled_sample(labels, rows))  # at most `rows` ids
+    # of the rows of an id, the one with the least hash: an id may have any number of rows
     found = (docs.select(F.col(id_column).alias("_doc"), F.col(text).alias("_text"))
              .join(sample, F.col("_doc") == F.col("_id"))
-             .select("_id", "_quality", F.xxhash64("_text").alias("_h"),
-                     vectors("_text").alias("_bag")))
-    bags = sorted(found.toLocalIterator(), key=lambda r: (r._id, r._h))
+             .groupBy("_id", "_quality")
+             .agg(F.min_by(F.struct("_text"), F.xxhash64("_text")).alias("_least"))
+             .select("_id", "_quality", vectors("_least._text").alias("_bag")))
+    bags = sorted(found.toLocalIterator(), key=lambda r: r._id)
     return fit_attention([np.frombuffer(r._bag, np.float16).reshape(-1, FEATURES) for r in bags],
                          np.array([float(r._quality >= 1) for r in bags]))
 
