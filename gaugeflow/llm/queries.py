@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import (exact, html, language, licenses, mixing, packing, quality, rules, sharding,
+from gaugeflow.llm import (collocations, exact, html, language, licenses, mixing, packing, quality, rules, sharding,
                            simhash, topk)
 from gaugeflow.llm.common import held_out
 
@@ -76,11 +76,16 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_temperature_mixing, op2_exact_top_k, op3_table_sharding, op4_html_extraction,
         op5_attention_quality, op6_length_buckets, op7_license_scan, op8_language_id,
-        op9_simhash_near_dedup, op10_likelihood_rules, op11_exact_dedup)
+        op9_simhash_near_dedup, op10_likelihood_rules, op11_exact_dedup,
+        op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {
     "op1_temperature_mixing": mixing.oracle(),
@@ -89,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op6_length_buckets": packing.oracle(),
     "op7_license_scan": licenses.oracle(),
     "op11_exact_dedup": exact.oracle(),
+    "op13_phrase_collocations": collocations.oracle(),
 }
