@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import (collocations, exact, html, language, licenses, mixing, packing, quality, rules, sharding,
+from gaugeflow.llm import (collocations, conversations, exact, html, language, licenses, mixing, packing, quality, rules, sharding,
                            simhash, topk)
 from gaugeflow.llm.common import held_out
 
@@ -76,6 +76,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.with_lost(conversations.repair(conversations.damage(rows)), rows)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -84,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_temperature_mixing, op2_exact_top_k, op3_table_sharding, op4_html_extraction,
         op5_attention_quality, op6_length_buckets, op7_license_scan, op8_language_id,
-        op9_simhash_near_dedup, op10_likelihood_rules, op11_exact_dedup,
+        op9_simhash_near_dedup, op10_likelihood_rules, op11_exact_dedup, op12_conversation_repair,
         op13_phrase_collocations)
 }
 ORACLES: dict[str, str] = {
@@ -94,5 +99,6 @@ ORACLES: dict[str, str] = {
     "op6_length_buckets": packing.oracle(),
     "op7_license_scan": licenses.oracle(),
     "op11_exact_dedup": exact.oracle(),
+    "op12_conversation_repair": conversations.oracle(),
     "op13_phrase_collocations": collocations.oracle(),
 }
