@@ -30,9 +30,9 @@ MAX_WORDS, MIN_COUNT, TOP = 3, 10, 2000
 INSIDE_PERCENT = 50
 SEED = 42
 # bounds of what a task holds: distinct words, n-grams waiting, n-grams in filters, bytes split at once
-HELD_WORDS = 1 << 19
-HELD_GRAMS = 1 << 21
-HELD_ENTRIES = 1 << 22
+HELD_WORDS = 1 << 18
+HELD_GRAMS = 1 << 19
+HELD_ENTRIES = 1 << 20
 SPLIT_BYTES = 1 << 20
 # occurrences of n-grams per merged segment
 SEGMENT_GRAMS = 1 << 21
@@ -105,8 +105,8 @@ def word_hash(attempt: int) -> Column:
     return F.xxhash64("lang", F.concat("word", F.lit(" " * attempt)))
 
 
-def _word_hash(lang: bytes, word: bytes, attempt: int) -> int:
-    return xxhash.xxh64_intdigest(word + b" " * attempt, xxhash.xxh64_intdigest(lang, SEED))
+def _word_hash(lang_hash: int, word: bytes, attempt: int) -> int:
+    return xxhash.xxh64_intdigest(word + b" " * attempt, lang_hash)
 
 
 def _id(hashed: Column, bits: int) -> Column:
@@ -153,6 +153,11 @@ class Members:
         table = np.zeros(2 ** self.log // 64, np.int64)
         table[slots["slot"].to_numpy()] = slots["bits"].to_numpy()
         self.table = table.view(_U)
+        self.bytes = table.tobytes()
+
+    def has_one(self, h: int) -> bool:
+        mask = 2 ** self.log - 1
+        return all(self.bytes[p >> 3] >> (p & 7) & 1 for p in (h & mask, h >> 32 & mask))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         mask, found = _U(2 ** self.log - 1), np.ones(len(hashes), bool)
@@ -166,19 +171,19 @@ class _Ids(dict):
 
     def __init__(self, lang: str, bits: int, attempt: int, members: Members):
         super().__init__({b"\n": 0, b"": _EMPTY})
-        self.lang, self.mask, self.attempt = lang.encode(), 2 ** bits - 1, attempt
+        self.lang, self.mask, self.attempt = _seed(lang), 2 ** bits - 1, attempt
         self.members = members
 
     def __missing__(self, word: bytes) -> int:
         h = _word_hash(self.lang, word, self.attempt)
-        found = h & self.mask if self.members.has(np.array([h], _U))[0] else 0
+        found = h & self.mask if self.members.has_one(h) else 0
         self[word] = found = 0 if found == _EMPTY else found
         return found
 
     def of(self, piece: bytes) -> np.ndarray:
         tokens = piece.replace(b"\n", b" \n ").split(b" ")
         ids = np.fromiter(map(self.__getitem__, tokens), _U, len(tokens))
-        if len(self) > HELD_WORDS:
+        if len(self) > HELD_WORDS:  # within one very long text
             self.clear()
             self.update({b"\n": 0, b"": _EMPTY})
         return ids[ids != _EMPTY]
@@ -238,7 +243,7 @@ def count_filters(docs: DataFrame, words: int, bits: int, attempt: int, frequent
 
         for name, data in _by_lang(batches):
             ids = known.setdefault(name, _Ids(name, bits, attempt, frequent))
-            if sum(map(len, known.values())) > 2 * HELD_WORDS:
+            if sum(map(len, known.values())) > HELD_WORDS:
                 known = {name: ids}
             tail = np.empty(0, _U)
             for piece in _pieces(data):
