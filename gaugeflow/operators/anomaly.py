@@ -15,13 +15,15 @@ from gaugeflow.config import ASSET, MINUTE, TARGETS
 from gaugeflow.functions.expr import flag
 from gaugeflow.operators.intervals import match_intervals
 from gaugeflow.operators.labels import lookback_windows
-from gaugeflow.operators.prefix import exact_median, exact_quantiles, prefix_sums
+from gaugeflow.operators.prefix import below, exact_median, exact_quantiles, prefix_sums
 from gaugeflow.operators.prep import impute, standardize
 from gaugeflow.operators.rolling import period_column
-from gaugeflow.session import local_table
+from gaugeflow.session import local_table, settle, shared_folder
 
 TREES = 400
 SAMPLE = 256
+# ranges into which the distribution of the baseline's scores is cut
+STEP_BUCKETS = 1024
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, "
                "left_id int, right_id int, size int, depth int")
 EULER_GAMMA = 0.5772156649015329
@@ -163,12 +165,17 @@ def score_isolation_forest(df: DataFrame, nodes: DataFrame, features: Sequence[s
 
 @dataclass(frozen=True)
 class AnomalyModel:
-    """Everything needed to score and flag new rows; ``nodes`` is the forest's table."""
+    """Everything needed to score, flag and rank new rows.
+
+    ``nodes`` is the forest's table, ``steps`` the distribution of the baseline's scores
+    (``percentile_steps``).
+    """
 
     features: tuple[str, ...]
     medians: dict
     scaler: dict
     nodes: DataFrame
+    steps: DataFrame
     threshold: float
     baseline_end: datetime
 
@@ -176,7 +183,7 @@ class AnomalyModel:
         spark = self.nodes.sparkSession
         constants = [(i, c, self.medians[c], *self.scaler[c]) for i, c in enumerate(self.features)]
         for name, table in (
-                ("nodes", self.nodes),
+                ("nodes", self.nodes), ("steps", self.steps),
                 ("features", local_table(spark, constants, "position int, feature string, "
                                          "median double, mean double, std double")),
                 ("info", local_table(spark, [(self.threshold, self.baseline_end)],
@@ -190,14 +197,19 @@ class AnomalyModel:
         return AnomalyModel(
             tuple(r["feature"] for r in rows), {r["feature"]: r["median"] for r in rows},
             {r["feature"]: (r["mean"], r["std"]) for r in rows},
-            spark.read.parquet(f"{path}/nodes"), info["alert_threshold"], info["baseline_end"])
+            spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/steps"),
+            info["alert_threshold"], info["baseline_end"])
 
     def score(self, df: DataFrame, keep: Sequence[str] = (ASSET, MINUTE)) -> DataFrame:
-        """``keep``, the anomaly score and its flag for every row."""
+        """``keep``, the anomaly score, its percentile in the baseline and its flag for every row."""
         ready = standardize(impute(df.select(*keep, *self.features), self.medians), self.scaler)
-        scored = score_isolation_forest(ready, self.nodes, self.features)
-        return scored.select(*keep, "anomaly_score", flag(
-            F.col("anomaly_score") >= F.lit(self.threshold)).alias("anomaly_flag"))
+        scored = score_isolation_forest(ready, self.nodes, self.features).select(
+            *keep, "anomaly_score", flag(F.col("anomaly_score") >= F.lit(self.threshold))
+            .alias("anomaly_flag"))
+        # the scores are used twice, and scoring is what costs
+        path = shared_folder(df.sparkSession, "new-scores")
+        scored.write.parquet(path)
+        return percentile_of(df.sparkSession.read.parquet(path), self.steps)
 
 
 def score_threshold(baseline: DataFrame, quantile: float = 0.99,
@@ -229,6 +241,63 @@ def baseline_percentile(df: DataFrame, is_baseline: str, score: str = "anomaly_s
     return df.join(steps, F.col(score) == F.col("_s"), "left").drop("_s")
 
 
+def percentile_steps(baseline: DataFrame, score: str = "anomaly_score",
+                     buckets: int = STEP_BUCKETS) -> DataFrame:
+    """The baseline's distribution of scores as a table: score, share, bucket, low, before.
+
+    One row per distinct score with the share (in percent) of baseline rows that score no higher. The
+    steps are cut into ranges of about equal size; ``low`` is where a step's range begins and ``before``
+    the share below it. NULL scores do not count.
+    """
+    sums = prefix_sums(baseline.filter(F.col(score).isNotNull()), [], score,
+                       {"rows": F.count("*")})
+    steps = sums.select(F.col(score).alias("score"),
+                        (F.col("cum_rows") / F.col("total_rows") * 100).alias("share"))
+    path = shared_folder(baseline.sparkSession, "steps")
+    steps.write.parquet(path)
+    steps = baseline.sparkSession.read.parquet(path)
+    cuts = steps.agg(F.array_distinct(F.percentile_approx(
+        "score", [i / buckets for i in range(1, buckets)], 10 * buckets)).alias("cuts")).scalar()
+    ranged = steps.withColumn("_cuts", cuts).withColumn(
+        "bucket", below(F.col("_cuts"), F.col("score"), buckets)).drop("_cuts")
+    starts = ranged.groupBy("bucket").agg(F.min("score").alias("low"), F.max("share").alias("_most"))
+    order = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
+    starts = starts.select("bucket", "low", F.coalesce(F.max("_most").over(order), F.lit(0.0))
+                           .alias("before"))
+    return ranged.join(F.broadcast(starts), "bucket")
+
+
+def percentile_of(df: DataFrame, steps: DataFrame, score: str = "anomaly_score",
+                  name: str = "anomaly_percentile", digits: int = 2) -> DataFrame:
+    """The share of the baseline that scores no higher than each row, by an as-of join.
+
+    A row meets the greatest step that is not above it. Rows are reduced to distinct scores, dealt to
+    the ranges in which the steps lie and walked along with them in order; whatever the size
+    of either side, a range holds a small share of both. Scores below all steps get 0, NULL
+    stays NULL; without any step the result is NULL.
+    """
+    ranges = steps.groupBy("bucket").agg(F.first("low").alias("low"),
+                                         F.first("before").alias("before"))
+    # a row per bucket: their number is fixed
+    lows = settle(ranges).agg(F.array_sort(F.collect_list(F.struct("low", "bucket", "before")))
+                      .alias("ranges")).scalar()
+    wanted = df.filter(F.col(score).isNotNull()).select(F.col(score).alias("score")).distinct()
+    met = wanted.withColumn("_ranges", lows).withColumn("_range", F.get("_ranges", F.size(F.filter(
+        "_ranges", lambda r: r["low"] <= F.col("score"))) - 1))
+    fresh = met.filter(F.col("_range").isNotNull()).select(
+        F.col("_range.bucket").alias("bucket"), "score", F.lit(None).cast("double").alias("share"),
+        F.lit(1).alias("new"))
+    known = steps.select("bucket", "score", "share", F.lit(0).alias("new"))
+    along = W.partitionBy("bucket").orderBy("score", "new").rowsBetween(W.unboundedPreceding, 0)
+    found = (known.unionByName(fresh)
+             .withColumn("share", F.last("share", ignorenulls=True).over(along))
+             .filter("new = 1").select(F.col("score").alias("_s"), "share"))
+    below_all = F.when(F.col(score).isNotNull() & (F.size("_ranges") > 0), F.lit(0.0))
+    return (df.join(found, F.col(score) == F.col("_s"), "left").withColumn("_ranges", lows)
+            .withColumn(name, F.bround(F.coalesce("share", below_all), digits))
+            .drop("_s", "share", "_ranges"))
+
+
 def attach_scores(features: DataFrame, scores: DataFrame,
                   keys: Sequence[str] = (ASSET, MINUTE)) -> DataFrame:
     """Scores beside the features; rows that were not scored keep NULLs."""

@@ -12,7 +12,6 @@ from gaugeflow.config import ASSET, MINUTE
 from gaugeflow.functions.expr import hours_between
 from gaugeflow.operators.intervals import match_intervals
 from gaugeflow.operators.labels import lookback_windows, merged_lookbacks
-from gaugeflow.session import shared_folder
 
 # Leaf entries sent to the executors at once; larger forests go in blocks of trees.
 BROADCAST_ENTRIES = 2_000_000
@@ -49,40 +48,32 @@ LEAF_SCHEMA = ("tree_id int, leaf int, value double, features array<int>, "
 def forest_leaves(model, spark) -> DataFrame:
     """One row per leaf of a random forest: its box, value and cover shares.
 
-    The nodes are read back from the model's own persisted table.  A leaf's path
-    is merged per feature into an interval ``low < x <= high`` and the share of
+    A leaf's path is merged per feature into an interval ``low < x <= high`` and the share of
     training weight that the splits on that feature let through.
     """
-    path = shared_folder(spark, "forest")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree_id"), "nodeData.id", "nodeData.leftChild",
-        "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("weight"),
-        (F.col("nodeData.impurityStats")[1]).alias("positive"))
+    nodes = model.table(spark)
 
     def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = pdf.set_index("id")
+        node = pdf.set_index("node")
         out, stack = [], [(0, {})]
         while stack:
             i, box = stack.pop()
             n = node.loc[i]
-            if n["leftChild"] < 0:
+            if n["left"] < 0:
                 used = sorted(box)
-                out.append((int(n["tree_id"]), i, n["positive"] / n["weight"], used,
+                out.append((int(n["tree"]), i, n["value"], used,
                             [box[f][0] for f in used], [box[f][1] for f in used],
                             [box[f][2] for f in used]))
                 continue
             f, cut = int(n["feature"]), float(n["threshold"])
             low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
-            for child, bounds in ((int(n["leftChild"]), (low, min(high, cut))),
-                                  (int(n["rightChild"]), (max(low, cut), high))):
-                part = node.at[child, "weight"] / n["weight"]
+            for child, bounds in ((int(n["left"]), (low, min(high, cut))),
+                                  (int(n["right"]), (max(low, cut), high))):
+                part = node.at[child, "cover"] / n["cover"]
                 stack.append((child, {**box, f: (*bounds, share * part)}))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LEAF_SCHEMA.split(", ")])
 
-    return nodes.groupBy("tree_id").applyInPandas(paths, LEAF_SCHEMA)
+    return nodes.groupBy("tree").applyInPandas(paths, LEAF_SCHEMA)
 
 
 def _leaf_shapley(x: np.ndarray, leaves: list[tuple], trees: int) -> np.ndarray:

@@ -84,8 +84,11 @@ def _facts_by_scan(rows, failures, keys, time_col, chunk_seconds):
 def failure_facts(rows: DataFrame, failures: DataFrame, *, keys: Sequence[str] = (ASSET,),
                   time_col: str = MINUTE, broadcast_rows: int = BROADCAST_ROWS,
                   chunk_seconds: int = DAY_SECONDS) -> DataFrame:
-    """Add the three facts of ``FACTS`` to every row, by the way that fits the table."""
-    bounds = failures.select(*keys, "start_time", "end_time")
+    """Add the three facts of ``FACTS`` to every row, by the way that fits the table.
+
+    A failure without a key belongs to no asset, and a row without one has no failures.
+    """
+    bounds = failures.select(*keys, "start_time", "end_time").dropna(subset=list(keys))
     if fits_broadcast(bounds, keys, broadcast_rows):
         return _facts_by_broadcast(rows, bounds, keys, time_col)
     return _facts_by_scan(rows, bounds, keys, time_col, chunk_seconds)

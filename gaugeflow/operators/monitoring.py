@@ -11,6 +11,7 @@ from gaugeflow.config import ASSET, DRIFT_FEATURES, MINUTE
 from gaugeflow.functions.expr import truncate
 from gaugeflow.operators.prefix import exact_quantiles, prefix_sums
 from gaugeflow.operators.prep import long_values
+from gaugeflow.session import settle, shared_folder
 
 EMPTY_SHARE = 0.0001
 KS_TERMS = 100
@@ -113,13 +114,90 @@ def ks_pvalue(statistics: DataFrame, terms: int = KS_TERMS) -> DataFrame:
     return statistics.withColumn("ks_pvalue", p)
 
 
-def drift_report(values: DataFrame) -> DataFrame:
-    """Moments, PSI, level and KS test, one row per feature."""
-    return (drift_moments(values)
-            .join(psi(values), ["feature"], "left")
-            .withColumn("drift_level", drift_level(F.col("psi")))
-            .join(ks_pvalue(ks_statistic(values))
-                  .select("feature", "ks_statistic", "ks_pvalue"), ["feature"], "left"))
+def drift_steps(values: DataFrame) -> DataFrame:
+    """Both empirical distributions as one table: per feature and distinct value the rows of each
+    side (b, p), those up to it (cum_) and the totals (total_)."""
+    return prefix_sums(values, ["feature"], "value",
+                       {"b": _side("baseline"), "p": _side("production")})
+
+
+def _first_look(steps: DataFrame, bins: int) -> DataFrame:
+    """Per feature: totals, means, KS distance and the baseline's quantile boundaries."""
+    v, shares = F.col("value"), [i / bins for i in range(bins + 1)]
+    place = [(F.col("total_b") - 1) * p for p in shares]
+    at = [F.min(F.when(F.col("cum_b") > rank, v)).alias(f"_{side}{i}")
+          for i, x in enumerate(place) for side, rank in (("lo", F.floor(x)), ("hi", F.ceil(x)))]
+    distance = F.abs(F.col("cum_b") / F.nullif(F.col("total_b"), F.lit(0))
+                     - F.col("cum_p") / F.nullif(F.col("total_p"), F.lit(0)))
+    found = steps.groupBy("feature").agg(
+        F.max("total_b").alias("baseline_rows"), F.max("total_p").alias("production_rows"),
+        F.sum(v * F.col("b")).alias("_b"), F.sum(v * F.col("p")).alias("_p"),
+        F.max(distance).alias("ks_statistic"), *at)
+    n_b, n_p = (F.nullif(F.col(c), F.lit(0)) for c in ("baseline_rows", "production_rows"))
+
+    def bound(i: int, p: float) -> Column:
+        lo, hi, x = F.col(f"_lo{i}"), F.col(f"_hi{i}"), (F.col("baseline_rows") - 1) * p
+        return lo + (hi - lo) * (x - F.floor(x))
+
+    bounds = F.array_distinct(F.array(*[bound(i, p) for i, p in enumerate(shares)]))
+    return found.select(
+        "feature", "baseline_rows", "production_rows", "ks_statistic",
+        (F.col("_b") / n_b).alias("baseline_mean"), (F.col("_p") / n_p).alias("production_mean"),
+        bounds.alias("_bounds")).withColumn(
+        "_inner", F.expr("slice(_bounds, 2, greatest(size(_bounds) - 2, 0))"))
+
+
+def _psi_of(bins: int) -> Column:
+    """PSI of one row per feature, with the rows up to each inner boundary as ``_upto``."""
+    n_b, n_p = F.col("baseline_rows"), F.col("production_rows")
+    # rows up to the end of each bin; boundaries that were merged have no bin
+    ends = F.concat(F.slice("_upto", F.lit(1), F.size("_inner")),
+                    F.array(F.struct(n_b.alias("b"), n_p.alias("p"))))
+    starts = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("b"),
+                                       F.lit(0).cast("long").alias("p"))), ends)
+
+    def share(end, start, side, n):
+        return F.greatest((end[side] - start[side]) / F.nullif(n, F.lit(0)), F.lit(EMPTY_SHARE))
+
+    terms = F.transform(F.arrays_zip(ends.alias("e"), starts.alias("s")), lambda x: F.when(
+        x["e"].isNotNull(), (share(x["e"], x["s"], "p", n_p) - share(x["e"], x["s"], "b", n_b))
+        * F.log(share(x["e"], x["s"], "p", n_p) / share(x["e"], x["s"], "b", n_b))).otherwise(0.0))
+    return (F.when((n_b == 0) | (n_p == 0), F.lit(None))
+            .when(F.size("_bounds") < 3, F.lit(0.0))
+            .otherwise(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+
+
+def drift_report(values: DataFrame, bins: int = 10) -> DataFrame:
+    """Moments, PSI, level and KS test, one row per feature.
+
+    All come from one table of counted values (``drift_steps``), which is written: the rows are
+    expanded and counted once. A first pass over it gives means, boundaries and the KS distance, a
+    second, with these per feature, deviations and the rows up to each boundary.
+    """
+    spark, path = values.sparkSession, shared_folder(values.sparkSession, "drift-steps")
+    drift_steps(values).write.parquet(path)
+    steps = spark.read.parquet(path)
+    first = settle(_first_look(steps, bins))  # a row per listed feature
+    v = F.col("value")
+
+    def upto(i: int) -> Column:
+        bound = F.get("_inner", F.lit(i))
+        return F.struct(*[F.coalesce(F.max(F.when(v <= bound, F.col(f"cum_{side}"))), F.lit(0))
+                          .alias(side) for side in ("b", "p")])
+
+    def deviation(side: str, name: str) -> Column:
+        square = F.sum(F.col(side) * F.pow(v - F.col(f"{name}_mean"), 2))
+        rows = F.sum(side)
+        return F.sqrt(square / F.when(rows > 1, rows - 1)).alias(f"{name}_std")
+
+    keys = first.columns
+    found = steps.join(F.broadcast(first), "feature").groupBy(*keys).agg(
+        deviation("b", "baseline"), deviation("p", "production"),
+        F.array(*[upto(i) for i in range(bins - 1)]).alias("_upto"))
+    found = ks_pvalue(found.withColumn("psi", _psi_of(bins)))
+    return found.select("feature", "baseline_mean", "production_mean", "baseline_std",
+                        "production_std", "psi", drift_level(F.col("psi")).alias("drift_level"),
+                        "ks_statistic", "ks_pvalue")
 
 
 def monitoring_status(drift: DataFrame) -> DataFrame:

@@ -11,11 +11,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gaugeflow.session import settle, shared_folder
+
 BUCKETS = 256
 SKETCH_ACCURACY = 10_000
+# quantiles: half a bracket's first width as a share of the values, the cells into which it is cut
+# again, and the values that are counted one by one per bracket
+SLACK = 1 / 1024
+GRID = 256
+BRACKET_ROWS = 100_000
 
 
-def _below(cuts: Column, value: Column, buckets: int) -> Column:
+def below(cuts: Column, value: Column, buckets: int) -> Column:
     """How many of ``buckets - 1`` ascending cut points lie below a value.
 
     First among every ``step``-th of them, then among those that follow.
@@ -47,10 +54,10 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[st
     shares, v = [i / buckets for i in range(1, buckets)], F.col(value)
     cuts = distinct.agg(F.percentile_approx(value, shares, 2_000).alias("cuts")).scalar()
     ranged = (distinct.withColumn("_cuts", cuts)
-              .withColumn("_range", _below(F.col("_cuts"), v, buckets)).drop("_cuts"))
+              .withColumn("_range", below(F.col("_cuts"), v, buckets)).drop("_cuts"))
     inner = ranged.groupBy("_range").agg(F.percentile_approx(value, shares, 2_000).alias("_cuts"))
     celled = (ranged.join(F.broadcast(inner), "_range")  # a row per range
-              .withColumn("_cell", _below(F.col("_cuts"), v, buckets)).drop("_cuts"))
+              .withColumn("_cell", below(F.col("_cuts"), v, buckets)).drop("_cuts"))
 
     def before(n: str, part: Sequence[str], order: str) -> Column:
         w = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -76,71 +83,118 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[st
                     *[f"total_{n}" for n in sums]))
 
 
+def _brackets(data: DataFrame, keys: list[str], probs: list[float], accuracy: int,
+              slack: float) -> DataFrame:
+    """Per key: number of values, and for every rank a range of values in which it lies, by a sketch."""
+    lows, highs = [max(0.0, p - slack) for p in probs], [min(1.0, p + slack) for p in probs]
+    found = data.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", lows + highs, accuracy).alias("_edges"))
+    # so few values that a share of them is less than a rank: their whole range
+    few = F.col("_n") * slack < 4
+
+    def edge(i: int, whole: str, is_end: bool) -> Column:
+        return F.col(whole) if is_end else F.when(few, F.col(whole)).otherwise(F.col("_edges")[i])
+
+    return found.select(*keys, "_n", F.array(*[
+        F.struct(edge(i, "_min", lows[i] <= 0).alias("lo"),
+                 edge(len(probs) + i, "_max", highs[i] >= 1).alias("hi"),
+                 (F.col("_n") * (2 * slack)).cast("long").alias("rows"))
+        for i in range(len(probs))]).alias("_b"))
+
+
+def _narrowed(data: DataFrame, brackets: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Each bracket cut at a grid of quantiles of the values in it, down to the cells around the rank."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    v, parts = F.col("_v"), []
+    for i in range(len(probs)):
+        b = F.col("_b")[i]
+        inside = F.when(v.between(b["lo"], b["hi"]), v)
+        parts += [F.count_if(v < b["lo"]).alias(f"_under{i}"), F.count(inside).alias(f"_in{i}"),
+                  F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias(f"_grid{i}")]
+    met = data.join(brackets, keys).groupBy(*keys, "_n", "_b").agg(*parts)
+
+    def cell(i: int, p: float) -> Column:
+        n, rank = F.col(f"_in{i}"), (F.col("_n") - 1) * p - F.col(f"_under{i}")
+        # two cells and two ranks on either side
+        at, pad = rank / n * GRID, F.lit(2.0) + F.lit(2.0 * GRID) / n
+        first = F.greatest(F.floor(at - pad), F.lit(0)).cast("int")
+        last = F.least(F.ceil(at + pad), F.lit(GRID)).cast("int")
+        old = F.col("_b")[i]
+        # the ends stay what they are: the sketch is exact only between them
+        return F.struct(
+            F.when(first > 0, F.get(f"_grid{i}", first)).otherwise(old["lo"]).alias("lo"),
+            F.when(last < GRID, F.get(f"_grid{i}", last)).otherwise(old["hi"]).alias("hi"),
+            (n * (last - first) / GRID).cast("long").alias("rows"))
+
+    return met.select(*keys, "_n", F.array(*[cell(i, p) for i, p in enumerate(probs)]).alias("_b"))
+
+
+def _picked(data: DataFrame, brackets: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """The quantiles, and as ``_missed`` whether a rank lies outside its bracket."""
+    v, b = F.col("_v"), F.col("_b")
+    inside = F.exists(b, lambda x: v.between(x["lo"], x["hi"]))
+    under = F.array_max(F.transform(F.filter(b, lambda x: x["hi"] < v), lambda x: x["hi"]))
+    # values between brackets stand as one counted value, the end of the bracket below them
+    counted = (data.join(brackets, keys)
+               .select(*keys, "_n", "_b", (~inside).alias("_gap"), F.when(inside, v).otherwise(
+                   F.coalesce(under, F.lit(float("-inf")))).alias("_v"))
+               .groupBy(*keys, "_n", "_b", "_gap", "_v").agg(F.count("*").alias("_c")))
+    missed = []
+    for i, p in enumerate(probs):
+        lo, hi, place = b[i]["lo"], b[i]["hi"], (F.col("_n") - 1) * p
+        before = F.sum(F.when(v < lo, F.col("_c")).otherwise(0))
+        upto = F.sum(F.when((v < hi) | ((v == hi) & ~F.col("_gap")), F.col("_c")).otherwise(0))
+        missed.append((before > F.floor(place)) | (upto <= F.ceil(place)))
+    return counted.groupBy(*keys, "_n", "_b").agg(
+        F.percentile("_v", probs, F.col("_c")).alias("quantiles"),
+        F.array(*missed).alias("_missed")).select(*keys, "quantiles", "_missed")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
-                    accuracy: int = SKETCH_ACCURACY, few_keys: bool = False) -> DataFrame:
+                    accuracy: int = SKETCH_ACCURACY, few_keys: bool = False, slack: float = SLACK,
+                    most_rows: int = BRACKET_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles: one array column ``quantiles`` per key.
 
-    A mergeable sketch first brackets every wanted rank.  In the second pass all
-    values below a bracket collapse into one counted row, those above it are
-    dropped, and only the values inside, about ``8 / accuracy`` of the rows, are
-    counted one by one and put in order per key and rank; a greater ``accuracy`` keeps
-    these few where keys have very many values.  NULLs are ignored.
+    Selection by counting. A mergeable sketch brackets every wanted rank; brackets with more than
+    ``most_rows`` values are cut again, each pass to a small part of what they held. Then one
+    pass counts: values inside a bracket one by one, all others as one value per gap, each once
+    however many ranks are wanted. So a key has a bounded number of counted values, and the
+    quantiles are those of the counted values. Should a rank lie outside its bracket, all is done
+    again with wider ones. NULLs are ignored.
 
-    ``few_keys`` says that the number of keys is bounded by a list in the
-    program (features, models), which allows their brackets to be broadcast.
+    Like any fit this runs at once. ``few_keys`` says that the number of keys is bounded by a list
+    in the program (features, models): brackets and results then are local tables, else
+    they are written out.
     """
-    probs = list(probs)
+    probs = [float(p) for p in probs]
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         df, few_keys = df.withColumn("_all", F.lit(0)), True
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull())
-    # at least twice the sketch's own error plus the rounding of ranks
-    slack = 4.0 / accuracy
-    lows = [max(0.0, p - slack) for p in probs]
-    highs = [min(1.0, p + slack) for p in probs]
-    brackets = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lows + highs, accuracy).alias("_b"))
-    # a group of at most ``accuracy`` values is counted whole
-    few = F.col("_n") <= accuracy
-    brackets = brackets.select(*keys, "_n", F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(p).alias("p"),
-            (F.col("_min") if lows[i] <= 0 else
-             F.when(few, F.col("_min")).otherwise(F.col("_b")[i])).alias("lo"),
-            (F.col("_max") if highs[i] >= 1 else
-             F.when(few, F.col("_max")).otherwise(F.col("_b")[len(probs) + i])).alias("hi"))
-        for i, p in enumerate(probs)]).alias("_q"))
-    brackets_side = F.broadcast(brackets) if few_keys else brackets
-    v = F.col("_v")
-    slots = (data.join(brackets_side, keys)
-             .withColumn("_s", F.explode(F.filter("_q", lambda q: v <= q.hi)))
-             .select(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.p").alias("_p"),
-                     F.when(v >= F.col("_s.lo"), v).otherwise(F.lit(float("-inf")))
-                     .alias("_slot"))
-             .groupBy(*keys, "_i", "_p", "_n", "_slot").agg(F.count("*").alias("_c")))
-    order = (W.partitionBy(*keys, "_i", "_p", "_n").orderBy("_slot")
-             .rowsBetween(W.unboundedPreceding, 0))
-    ranked = slots.withColumn("_cum", F.sum("_c").over(order))
-    # 0-based ranks on both sides of the wanted position
-    position = (F.col("_n") - 1) * F.col("_p")
-    lower, upper = F.floor(position), F.ceil(position)
-    at_low = F.min(F.when(F.col("_cum") > lower, F.col("_slot")))
-    at_high = F.min(F.when(F.col("_cum") > upper, F.col("_slot")))
-    picked = (ranked.groupBy(*keys, "_i", "_p", "_n")
-              .agg(at_low.alias("_lo"), at_high.alias("_hi")))
-    inside = (F.col("_lo") > F.lit(float("-inf"))) & F.col("_hi").isNotNull()
-    weight = position - lower
-    quantile = F.when(
-        inside, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * weight
-    ).otherwise(F.raise_error(F.lit("rank outside its bracket: raise the accuracy"))
-                .cast("double"))
-    result = (picked.withColumn("_value", quantile)
-              .groupBy(*keys)
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_value"))),
-                               lambda s: s["_value"]).alias("quantiles")))
-    return result.drop("_all")
+    keep = settle if few_keys else _stored
+    while True:
+        brackets = keep(_brackets(data, keys, probs, accuracy, slack))
+        wide = F.exists("_b", lambda x: (x["rows"] > most_rows) & (x["lo"] < x["hi"]))
+        while slack < 1 and not brackets.filter(wide).isEmpty():
+            before, brackets = brackets, keep(_narrowed(data, brackets, keys, probs))
+            if before.select(*keys, _ends()).exceptAll(brackets.select(*keys, _ends())).isEmpty():
+                break  # values that repeat so often that they fill their bracket
+        found = keep(_picked(data, brackets, keys, probs))
+        if slack >= 1 or found.filter(F.array_contains("_missed", True)).isEmpty():
+            return found.drop("_missed", "_all")
+        slack *= 8
+
+
+def _ends() -> Column:
+    return F.transform("_b", lambda x: F.struct(x["lo"], x["hi"])).alias("_ends")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession, "quantiles")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",

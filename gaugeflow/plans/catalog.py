@@ -12,9 +12,9 @@ from gaugeflow.config import (ANOMALY_FEATURES, ASSET, DRIFT_FEATURES, EARLY_MOD
                               ZSCORE_SIGNALS)
 from gaugeflow.operators import (aggregate, anomaly, attribution, decisions, episodes,
                                  intervals, labels, metrics, models, monitoring, prep,
-                                 profile, rolling, validation, views)
+                                 profile, rolling, trees, validation, views)
 from gaugeflow.plans.eventlog import HORIZONS, MIN_COVERAGE_1H, EventLogStudy, steady
-from gaugeflow.session import shared_folder
+from gaugeflow.session import local_table, shared_folder
 from gaugeflow.sources import sinks
 from gaugeflow.sources.telemetry import fleet_schema, scan_csv
 
@@ -303,6 +303,20 @@ def isolation_forest_score(s):
         *KEYS, "is_healthy", "anomaly_score")
 
 
+@query(rows=SENSOR_ROWS)
+def isolation_forest_checks(s):
+    """Trees, the rows each is grown from, rows scored, and whether all scores lie between 0 and 1."""
+    ready, nodes = _forest(s)
+    roots = nodes.filter("node_id = 0").agg(
+        F.count("*").alias("trees"), F.min("size").alias("least_sample"),
+        F.max("size").alias("most_sample"))
+    scores = anomaly.score_isolation_forest(ready, nodes, ANOMALY_FEATURES).agg(
+        F.count("*").alias("rows"),
+        F.bool_and((F.col("anomaly_score") > 0) & (F.col("anomaly_score") < 1)).alias("in_range"))
+    one = F.lit(0).alias("_one")
+    return roots.select("*", one).join(scores.select("*", one), "_one").drop("_one")
+
+
 @query(rows=SCORE_ROWS)
 def score_threshold(s):
     return anomaly.score_threshold(s.scoring.filter(s.healthy))
@@ -419,8 +433,35 @@ def model_comparison(s):
     return _comparison(s)
 
 
+# paths of the models that this session has stored, by data folder, kind and horizon
+_STORED: dict[tuple, str] = {}
+
+
+def _stored(s, wanted):
+    """Bundles of models by (spec, horizon): fitted and calibrated once a session, then loaded."""
+    folder = (s.spark.sparkContext.applicationId, s.sf_dir)
+    missing = [(spec, h) for spec, h in wanted if (*folder, spec.name, h) not in _STORED]
+    if missing:
+        fitted = models.fit_models(s.part("train"), FAILURE_FEATURES,
+                                   [(h, TARGETS[h], spec) for spec, h in missing])
+        predictions = models.score_models(s.part("calibration"), fitted)
+        limits = {(r["horizon"], r["model"]): r["alert_threshold"]
+                  for r in metrics.calibrate_threshold(predictions).collect()}
+        for f in fitted:
+            path = shared_folder(s.spark, "model")
+            models.save_model(s.spark, f, path, limits.get((f.horizon, f.name)),
+                              s.calendar.train_end, s.calendar.calibration_end)
+            _STORED[(*folder, f.name, f.horizon)] = path
+    return [models.load_model(s.spark, _STORED[(*folder, spec.name, h)]) for spec, h in wanted]
+
+
+def _horizons(s):
+    """The horizons that have positives to train on."""
+    return [r["horizon"] for r in prep.class_weights(s.part("train")).orderBy("horizon").collect()]
+
+
 def _fit(s, spec, horizon="24h"):
-    return models.fit_model(s.part("train"), FAILURE_FEATURES, horizon, TARGETS[horizon], spec)
+    return _stored(s, [(spec, horizon)])[0][0]
 
 
 def _fit_and_score(s, spec, horizon="24h"):
@@ -447,22 +488,63 @@ def fit_gbt_leafwise(s):
     return _fit_and_score(s, models.GBT_LEAFWISE)
 
 
+def _all_stored(s):
+    return _stored(s, [(spec, h) for h in _horizons(s) for spec in models.MODEL_SPECS])
+
+
+def _scored_by_all(s, stored, part):
+    limits = local_table(s.spark, [(f.horizon, f.name, limit) for f, limit in stored],
+                         "horizon string, model string, alert_threshold double")
+    return metrics.apply_threshold(
+        models.score_models(s.part(part), [f for f, _ in stored]), limits)
+
+
 @query(rows=MODEL_ROWS)
 def score_models(s):
-    """All classifiers for all horizons, calibrated and applied to the test split."""
-    _, predictions = models.train_and_score(s.split, FAILURE_FEATURES, TARGETS)
-    thresholds = metrics.calibrate_threshold(predictions.filter(F.col("split") == "calibration"))
-    return metrics.apply_threshold(predictions.filter(F.col("split") == "test"), thresholds)
+    """The stored bundles of all classifiers and horizons, applied to the test split."""
+    return _scored_by_all(s, _all_stored(s), "test")
+
+
+@query(rows=MODEL_ROWS)
+def model_checks(s):
+    """What must hold for every stored model: rows scored, alert budget, shape and falling loss."""
+    stored, q = _all_stored(s), 0.99
+    p, limit, key = F.col("failure_probability"), F.col("alert_threshold"), ["horizon", "model"]
+    tested = _scored_by_all(s, stored, "test").groupBy(*key).agg(
+        F.count("*").alias("test_rows"), F.sum("actual").alias("test_positive"),
+        F.bool_and(p.between(0, 1)).alias("in_range"))
+    place = (F.count("*") - 1) * q
+    budget = _scored_by_all(s, stored, "calibration").filter("actual = 0").groupBy(*key).agg(
+        ((F.count_if(p < limit) <= F.ceil(place))
+         & (F.count_if(p <= limit) > F.floor(place))).alias("at_budget"))
+    shapes = []
+    for f, _ in stored:
+        if not isinstance(f.model, trees.TreeModel):
+            shapes.append((f.horizon, f.name, None, True, True))
+            continue
+        nodes = f.model.nodes
+        leaves = nodes[nodes["feature"] < 0].groupby("tree").size()
+        # a tree of n leaves has n - 1 splits; every child is a node of its own tree
+        right = bool((2 * leaves - 1 == nodes.groupby("tree").size()).all())
+        falling = True
+        if f.model.boosted:
+            most = 31 if f.name == models.GBT_LEAFWISE.name else 2 ** 6
+            right &= bool(leaves.max() <= most)
+            losses = [r["loss"] for r in models.staged_loss(s.part("train"), f)
+                      .orderBy("round").collect()]
+            falling = losses[-1] < losses[0] / 4 and all(
+                b < a for a, b in zip(losses, losses[1:101]))
+        else:
+            right &= bool(leaves.max() <= 2 ** 14)
+        shapes.append((f.horizon, f.name, f.model.getNumTrees, right, falling))
+    shape = local_table(s.spark, shapes, "horizon string, model string, trees int, "
+                                         "shape boolean, loss_falls boolean")
+    return tested.join(budget, key).join(shape, key)
 
 
 @query(rows=MODEL_ROWS)
 def model_roundtrip(s):
-    path = shared_folder(s.spark, "model")
-    fitted = _fit(s, models.LOGISTIC)
-    budget = metrics.calibrate_threshold(models.score_model(s.part("calibration"), fitted))
-    models.save_model(s.spark, fitted, path, budget.first()["alert_threshold"],
-                      s.calendar.train_end, s.calendar.calibration_end)
-    fitted, threshold = models.load_model(s.spark, path)
+    fitted, threshold = _stored(s, [(models.LOGISTIC, "24h")])[0]
     return models.score_model(s.part("test"), fitted).withColumn(
         "alert_threshold", F.lit(threshold))
 
@@ -540,14 +622,30 @@ def explanation_summary(s):
     return attribution.explanation_summary(explained, EARLY_MODEL[1])
 
 
-@query(rows=MODEL_ROWS)
-def tree_attribution(s):
+def _tree_attributions(s):
     fitted = _fit(s, models.RANDOM_FOREST, "6h")
     leaves = attribution.forest_leaves(fitted.model, s.spark)
-    test = fitted.prepare(s.part("test").select(*KEYS, *FAILURE_FEATURES))
-    window = attribution.explanation_window(test, s.focus, 1)
-    return attribution.tree_attribution(window, leaves, FAILURE_FEATURES, KEYS,
-                                        fitted.model.getNumTrees)
+    test = s.part("test").select(*KEYS, *FAILURE_FEATURES)
+    window = attribution.explanation_window(fitted.prepare(test), s.focus, 1)
+    return fitted, leaves, window, attribution.tree_attribution(
+        window, leaves, FAILURE_FEATURES, KEYS, fitted.model.getNumTrees)
+
+
+@query(rows=MODEL_ROWS)
+def tree_attribution(s):
+    return _tree_attributions(s)[-1]
+
+
+@query(rows=MODEL_ROWS)
+def tree_attribution_checks(s):
+    """Per explained row: a share for every feature, and with the base they add up to its score."""
+    fitted, leaves, window, found = _tree_attributions(s)
+    base = attribution.expected_value(leaves, fitted.model.getNumTrees).first()["base_value"]
+    sums = found.groupBy(*KEYS).agg(F.count("*").alias("features"),
+                                    F.sum("attribution").alias("_sum"))
+    chance = models.score_model(window, fitted).select(*KEYS, "failure_probability")
+    return sums.join(chance, list(KEYS)).select(*KEYS, "features", (
+        F.abs(F.col("_sum") + F.lit(base) - F.col("failure_probability")) < 1e-9).alias("adds_up"))
 
 
 # --- decisions ----------------------------------------------------------------
@@ -611,6 +709,7 @@ def first_useful_warning(s):
 
 @query(rows=DECISION_ROWS)
 def cost_rollup(s):
+    s = s.with_written("episodes")
     return decisions.cost_rollup(s.episodes, s.focus)
 
 
@@ -690,6 +789,7 @@ def view_latest(s):
 
 @query(rows=DECISION_ROWS)
 def view_kpis(s):
+    s = s.with_written("decisions", "episodes")
     return views.kpis(s.decisions, s.episodes, decisions.cost_rollup(s.episodes, s.focus),
                       s.focus)
 

@@ -146,6 +146,16 @@ class EventLogStudy:
         study.__dict__[layer] = self.spark.read.parquet(path)
         return study
 
+    def with_written(self, *layers: str) -> "EventLogStudy":
+        """This study with some layers written whole, one after the other, and read back."""
+        study = EventLogStudy(self.spark, self.sf_dir, self.calendar)
+        study.__dict__.update({k: v for k, v in self.__dict__.items() if k not in layers})
+        for layer in layers:
+            path = shared_folder(self.spark, layer)
+            write_parquet(getattr(study, layer), path)
+            study.__dict__[layer] = self.spark.read.parquet(path)
+        return study
+
     def part(self, name: str) -> DataFrame:
         return self.split.filter(F.col("split") == name)
 

@@ -103,7 +103,8 @@ def build_anomalies(layers: Layers, calendar: Calendar = STUDY_2022,
         ASSET, MINUTE, "anomaly_score", is_healthy.cast("int").alias("is_healthy")), MINUTE)
     threshold = layers.put("anomaly_threshold", anomaly.score_threshold(
         scored.filter(F.col("is_healthy") == 1)))
-    anomaly.AnomalyModel(tuple(features), medians, scaler, nodes,
+    steps = anomaly.percentile_steps(scored.filter(F.col("is_healthy") == 1))
+    anomaly.AnomalyModel(tuple(features), medians, scaler, nodes, steps,
                          threshold.first()["alert_threshold"], calendar.baseline_end).save(
         layers.path("anomaly_model"))
     scores = layers.put("anomaly_scores", anomaly.baseline_percentile(
@@ -116,7 +117,7 @@ def build_predictions(layers: Layers, calendar: Calendar = STUDY_2022,
                       specs: Sequence[models.ModelSpec] = models.MODEL_SPECS) -> DataFrame | None:
     """Classifiers for every horizon, calibrated alerts and the comparison table.
 
-    The models are trained one after the other, each as a distributed job; their
+    Several models are trained at a time, each by jobs of its own; their
     predictions meet in one long table and all metrics come from grouped jobs.
     """
     failures = layers.get("failure_events")

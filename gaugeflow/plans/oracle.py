@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from gaugeflow.config import (ANALOG, ANOMALY_FEATURES, COST_SCENARIOS, DIGITAL,
-                              DRIFT_FEATURES, EARLY_MODEL, MINUTE_STATS, NEAR_MODEL,
+                              DRIFT_FEATURES, EARLY_MODEL, FAILURE_FEATURES, MINUTE_STATS, NEAR_MODEL,
                               RISK_ACTIONS, SIGNALS, TARGETS, ZSCORE_SIGNALS)
 from gaugeflow.operators.decisions import SENSOR_COLUMNS
 from gaugeflow.operators.rolling import (BY_ALIAS, DEVIATION_SIGNALS, PERIOD_AVERAGES,
@@ -614,6 +614,12 @@ FROM failures f JOIN scoring s ON s.asset_id = f.asset_id
   AND s.minute_timestamp < f.start_time
 GROUP BY 1, 2, 3""", "alert_rate", "max_percentile", "median_percentile")
 
+oracle("isolation_forest_checks", """
+SELECT 400::BIGINT AS trees, CAST(least(256, (SELECT count(*) FROM baseline)) AS INTEGER) AS least_sample,
+  CAST(least(256, (SELECT count(*) FROM baseline)) AS INTEGER) AS most_sample, count(*) AS rows,
+  TRUE AS in_range
+FROM scoring""")
+
 # --- supervised layer ---------------------------------------------------------
 oracle("modelling_rows", f"SELECT {KEYS}, coverage_6h, anomaly_score, "
        f"{', '.join(TARGETS.values())} FROM modelling", "coverage_6h", "anomaly_score")
@@ -638,6 +644,21 @@ oracle("alert_rates", "SELECT horizon, model, alert_rate_percent, false_alert_ra
 oracle("first_warning", "SELECT * FROM first_alerts", "lead_hours")
 oracle("model_comparison", "SELECT * FROM comparison", *COMPARISON_FRACTIONS)
 
+oracle("model_checks", f"""
+SELECT t.horizon, m.model, test_rows, test_positive, TRUE AS in_range, TRUE AS at_budget, m.trees,
+  TRUE AS shape, TRUE AS loss_falls
+FROM ({" UNION ALL ".join(
+    f"SELECT '{h}' AS horizon, count(*) AS test_rows, CAST(sum({t}) AS BIGINT) AS test_positive FROM test"
+    for h, t in TARGETS.items())}) t
+JOIN train_counts c ON c.horizon = t.horizon AND c.train_positive > 0,
+  (VALUES ('Logistic Regression', NULL::INTEGER), ('Random Forest', 500),
+    ('Gradient Boosting (depth-wise)', 500), ('Gradient Boosting (leaf-wise)', 500)) m(model, trees)""")
+oracle("tree_attribution_checks", f"""
+SELECT DISTINCT t.asset_id, t.minute_timestamp, {len(FAILURE_FEATURES)}::BIGINT AS features,
+  TRUE AS adds_up
+FROM test t JOIN focus f ON t.asset_id = f.asset_id
+  AND t.minute_timestamp >= f.start_time - INTERVAL 1 HOUR AND t.minute_timestamp < f.start_time""")
+
 # --- validation ---------------------------------------------------------------
 COVERAGE_SQL = f"""
 SELECT asset_id, event_id, horizon, CAST(max(hours) * 60 AS BIGINT) AS expected_minutes,

@@ -1,3 +1,5 @@
+import pytest
+
 from conftest import at
 from gaugeflow.operators.intervals import count_in_intervals, match_intervals
 from gaugeflow.operators.labels import label_minutes
@@ -49,6 +51,16 @@ def test_label_bounds_by_scan(spark):
     check_edges(labelled(spark, EDGES, [(START, END)], 0))
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_unknown_assets_match_nothing(spark, limit):
+    rows = rows_at(spark, 120, asset=None).unionByName(rows_at(spark, 120))
+    table = local_table(spark, [(a, at(100), at(200)) for a in (None, 0)],
+                        "asset_id int, start_time timestamp_ntz, end_time timestamp_ntz")
+    found = {r["asset_id"]: r for r in label_minutes(rows, table, broadcast_rows=limit).collect()}
+    assert (found[0]["failure_active"], found[None]["failure_active"]) == (1, 0)
+    assert found[None]["eligible_for_model"] == 1 and found[None]["hours_to_next_failure"] is None
+
+
 def test_both_ways_agree_on_overlapping_failures(spark):
     minutes = list(range(0, 6 * DAY, 37)) + [100, 2000]
     spans = [(100, 4000), (100, 150), (2000, 2100), (3990, 4400), (6500, 6500), (7000, 8000)]

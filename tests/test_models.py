@@ -3,7 +3,6 @@ from math import factorial
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import at
@@ -84,22 +83,16 @@ def test_tree_attribution_equals_shapley_values(spark, rows):
     out = attribution.tree_attribution(window, leaves, FEATURES, ids, 4).collect()
     split = attribution.tree_attribution(window, leaves, FEATURES, ids, 4, max_entries=1).collect()
 
-    path = shared_folder(spark, "forest")
-    fitted.model.write().overwrite().save(path)
     forest = {}
-    for r in spark.read.parquet(f"{path}/data").collect():
-        n = r["nodeData"]
-        forest.setdefault(r["treeID"], {})[n["id"]] = {
-            "left": n["leftChild"], "right": n["rightChild"],
-            "feature": n["split"]["featureIndex"], "weight": sum(n["impurityStats"]),
-            "cut": (n["split"]["leftCategoriesOrThreshold"] or [None])[0],
-            "value": n["impurityStats"][1] / sum(n["impurityStats"])}
+    for n in fitted.model.table(spark).collect():
+        forest.setdefault(n["tree"], {})[n["node"]] = {
+            "left": n["left"], "right": n["right"], "feature": n["feature"],
+            "weight": n["cover"], "cut": n["threshold"], "value": n["value"]}
     found = {(r["minute_timestamp"], r["feature"]): r["attribution"] for r in out}
     parts = {(r["minute_timestamp"], r["feature"]): r["attribution"] for r in split}
     base = attribution.expected_value(leaves, 4).first()[0]
-    scored = models.assemble(window, FEATURES)
-    chance = {r["minute_timestamp"]: r["p"] for r in fitted.model.transform(scored).select(
-        "minute_timestamp", vector_to_array("probability")[1].alias("p")).collect()}
+    chance = {r["minute_timestamp"]: r["failure_probability"]
+              for r in models.score_model(window, fitted).collect()}
     for row in window.collect():
         x = [row[c] for c in FEATURES]
         for f, name in enumerate(FEATURES):

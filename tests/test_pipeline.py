@@ -53,7 +53,7 @@ def test_every_layer_is_written(spark):
     assert stored.baseline_end == CALENDAR.baseline_end
     again = stored.score(layers.get("sensor_rolling_features").filter("coverage_6h >= 0.04"))
     kept = layers.get("anomaly_scores").select("asset_id", "minute_timestamp", "anomaly_score",
-                                               "anomaly_flag")
+                                               "anomaly_flag", "anomaly_percentile")
     assert again.exceptAll(kept).count() == 0 == kept.exceptAll(again).count()
     plan = layers.get("sensor_anomaly_features", since=CALENDAR.calibration_end
                       )._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import at
 from gaugeflow.operators import anomaly, metrics, monitoring, prep
-from gaugeflow.session import local_table
+from gaugeflow.session import local_table, shared_folder
 
 PREDICTION = ("asset_id int, minute_timestamp timestamp_ntz, horizon string, model string, "
               "actual int, failure_probability double")
@@ -66,6 +66,30 @@ def test_baseline_percentile(spark):
     assert out == {0.5: 0.0, 1.0: 25.0, 2.0: 75.0, 3.0: 75.0, 4.0: 100.0, 9.0: 100.0}
 
 
+@pytest.mark.parametrize("buckets", [2, 3, 64])
+def test_percentile_of_new_rows(spark, buckets):
+    rnd = random.Random(buckets)
+    base = [rnd.choice([0.1, 0.5, 0.5, rnd.random()]) for _ in range(300)] + [None]
+    fresh = [*base, -1.0, 2.0, 0.1, 0.5, 0.50001, *(rnd.random() for _ in range(200))]
+    schema = "row int, anomaly_score double"
+    steps = anomaly.percentile_steps(local_table(spark, list(enumerate(base)), schema),
+                                     buckets=buckets)
+    found = anomaly.percentile_of(local_table(spark, list(enumerate(fresh)), schema), steps)
+    assert found.columns == ["row", "anomaly_score", "anomaly_percentile"]
+    known = [b for b in base if b is not None]
+    assert len(rows := found.collect()) == len(fresh)
+    for r in rows:
+        expected = None if r.anomaly_score is None else round(
+            100 * sum(b <= r.anomaly_score for b in known) / len(known), 2)
+        assert r.anomaly_percentile == pytest.approx(expected, abs=0.0051) if expected is not None \
+            else r.anomaly_percentile is None
+    path = shared_folder(spark, "steps")
+    steps.filter("score > 5").write.parquet(path)
+    none = spark.read.parquet(path)
+    assert {r.anomaly_percentile for r in anomaly.percentile_of(
+        local_table(spark, [(1, 0.5)], schema), none).collect()} == {None}
+
+
 def test_imputation_and_scaling(spark):
     rows = [(1.0, 5.0, None), (None, 5.0, None), (float("inf"), 5.0, None),
             (float("nan"), 5.0, None), (4.0, 5.0, None)]
