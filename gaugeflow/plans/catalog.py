@@ -16,7 +16,7 @@ from gaugeflow.operators import (aggregate, anomaly, attribution, decisions, epi
 from gaugeflow.plans.eventlog import HORIZONS, MIN_COVERAGE_1H, EventLogStudy, steady
 from gaugeflow.session import local_table, shared_folder
 from gaugeflow.sources import sinks
-from gaugeflow.sources.telemetry import fleet_schema, scan_csv
+from gaugeflow.sources.telemetry import fleet_schema, scan_csv, scan_csv_checked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = (ASSET, MINUTE)
@@ -70,6 +70,25 @@ def scan_csv_roundtrip(s):
     return scan_csv(s.spark, path, fleet_schema())
 
 
+@query
+def scan_csv_rejects(s):
+    """The readings as CSV with some values that cannot be read: rows that come back, lines that do not."""
+    names = fleet_schema().fieldNames()
+    second = F.second(READING_TIME)
+    damaged = s.readings.withColumns({
+        READING_TIME: F.when(second == 7, "yesterday").otherwise(
+            F.date_format(READING_TIME, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+        "oil_temperature": F.when(second == 11, "n/a").otherwise(
+            F.col("oil_temperature").cast("string"))}).select(*names)
+    path = shared_folder(s.spark, "csv")
+    sinks.write_csv(damaged, path)
+    good, bad = scan_csv_checked(s.spark, path, fleet_schema())
+    kinds = bad.groupBy(F.when(F.col("line").startswith("yesterday"), "time").otherwise("number")
+                        .alias("kind")).agg(F.count("*").alias("rows"))
+    return kinds.unionByName(good.groupBy(F.lit("good").alias("kind")).agg(
+        F.count("*").alias("rows")))
+
+
 @query
 def sink_parquet_roundtrip(s):
     path = shared_folder(s.spark, "parquet")

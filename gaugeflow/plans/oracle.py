@@ -469,6 +469,10 @@ def oracle(name: str, select: str, *cut_columns: str) -> None:
 
 # --- sources, sinks, profiling ------------------------------------------------
 DOUBLE_READINGS = [*ANALOG, "gps_speed"]
+oracle("scan_csv_rejects", """
+SELECT CASE extract(second FROM ts) WHEN 7 THEN 'time' WHEN 11 THEN 'number' ELSE 'good' END
+  AS kind, count(*) AS rows
+FROM events GROUP BY 1""")
 for name in ("telemetry_project", "scan_csv_roundtrip", "sink_parquet_roundtrip"):
     oracle(name, "SELECT * FROM telemetry", *DOUBLE_READINGS)
 SEEN = """

@@ -45,6 +45,32 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.schema(in_order).option("enforceSchema", False).csv(path)
 
 
+REJECTED = "_rejected_line"
+
+
+def scan_csv_checked(spark: SparkSession, path: str, schema: T.StructType | None = None
+                     ) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV export that fit their declared types, and the lines that do not.
+
+    ``scan_csv`` turns a value it cannot read into NULL. Here a line with such a value, or with
+    more or fewer fields than the header, goes as a whole to the second table (source file, line),
+    which can be counted, kept and read again after repair. Empty fields are NULLs, no faults.
+    """
+    declared = {f.name: f.dataType for f in (schema or csv_schema())}
+    header = spark.read.option("header", True).csv(path).columns
+    in_order = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
+    parsed = (spark.read.option("header", True).option("enforceSchema", False)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED)
+              .schema(in_order.add(REJECTED, T.StringType()))
+              .csv(path).withColumn("_file", F.input_file_name()))
+    # a line is judged by the fields that are read; true for every row, this asks for all of them
+    whole = (F.xxhash64(*[f"`{c}`" for c in header]) % 2).between(-1, 1)
+    good = parsed.filter(F.col(REJECTED).isNull() & whole).select(*[f"`{c}`" for c in header])
+    bad = parsed.filter(F.col(REJECTED).isNotNull() & whole).select(
+        F.col("_file").alias("source_file"), F.col(REJECTED).alias("line"))
+    return good, bad
+
+
 def load_readings(spark: SparkSession, path: str, asset: int = 0) -> DataFrame:
     """Readings of one machine from its CSV export, keyed by ``asset``."""
     return rename_readings(scan_csv(spark, path)).withColumn(ASSET, F.lit(asset))
