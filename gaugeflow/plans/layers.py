@@ -23,6 +23,8 @@ from gaugeflow.session import use_utc
 from gaugeflow.sources import sinks
 
 HORIZONS = {"6h": 6.0, "12h": 12.0, "24h": 24.0}
+# beyond this many days of windows a layer is read whole
+MANY_DAYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,20 @@ class Layers:
             table = table.filter(F.col("event_date") <= F.lit(until.date()))
         return table.drop("event_date")
 
+    def during(self, name: str, windows: DataFrame, low: str, high: str) -> DataFrame:
+        """A layer's rows of the days that any of the windows touches; others are not opened.
+
+        Which days these are is known only when the windows have been worked out, so their folders
+        are chosen while the job runs (dynamic partition pruning). A window may be of any asset; the
+        join with the windows themselves does the rest.
+        """
+        days = windows.filter(F.col(low) <= F.col(high)).select(F.explode(F.sequence(
+            F.to_date(low), F.to_date(high))).alias("event_date")).distinct()
+        if days.limit(MANY_DAYS + 1).count() > MANY_DAYS:
+            return self.get(name)
+        table = self.spark.read.parquet(self.path(name))
+        return table.join(F.broadcast(days), "event_date", "left_semi").drop("event_date")
+
     def report(self, name: str, df: DataFrame, one_file: bool = True) -> DataFrame:
         """A result table: Parquet for later steps and CSV for people.
 
@@ -188,13 +204,19 @@ def build_validation(layers: Layers, calendar: Calendar = STUDY_2022) -> None:
     """Coverage and gaps before the failures, model behaviour and labels before the focus."""
     failures = layers.get("failure_events")
     focus = failures.filter(F.col("event_id") == calendar.focus_event)
-    rows = prep.modelling_rows(layers.get("sensor_anomaly_features"), calendar.min_coverage)
-    alerts = layers.get("failure_predictions")
+
+    def before(name: str, events: DataFrame) -> DataFrame:
+        return layers.during(name, labels.lookback_windows(events, max(HORIZONS.values())),
+                             "window_start", "start_time")
+
+    rows, focus_rows = (prep.modelling_rows(before("sensor_anomaly_features", e),
+                                            calendar.min_coverage) for e in (failures, focus))
+    alerts = before("failure_predictions", focus)
     for name, table in (
             ("window_coverage", validation.window_coverage(rows, failures, HORIZONS)),
             ("largest_gap", validation.largest_gap(rows, failures, HORIZONS)),
             ("prediction_behaviour", validation.prediction_behaviour(alerts, focus, HORIZONS)),
-            ("positive_distribution", validation.positive_distribution(rows, focus))):
+            ("positive_distribution", validation.positive_distribution(focus_rows, focus))):
         layers.report(f"validation/{name}", table, one_file=False)
 
 
@@ -216,12 +238,18 @@ def build_monitoring(layers: Layers, calendar: Calendar = STUDY_2022,
                      features: Sequence[str] = DRIFT_FEATURES,
                      model: tuple[str, str] = EARLY_MODEL) -> DataFrame:
     """Drift report over the monitored features and the weekly table."""
-    rows = prep.modelling_rows(layers.get("sensor_anomaly_features"), calendar.min_coverage)
-    split = monitoring.drift_split(rows, calendar.baseline_end, calendar.calibration_end)
+    start, end = (F.lit(t).cast("timestamp_ntz")
+                  for t in (calendar.calibration_end, calendar.baseline_end))
+    sides = [prep.modelling_rows(layers.get("sensor_anomaly_features", **days).filter(within),
+                                 calendar.min_coverage)
+             for days, within in (({"until": calendar.baseline_end}, F.col(MINUTE) < end),
+                                  ({"since": calendar.calibration_end}, F.col(MINUTE) >= start))]
+    split = monitoring.drift_split(sides[0].unionByName(sides[1]), calendar.baseline_end,
+                                   calendar.calibration_end)
     report = layers.report("feature_drift_monitoring", monitoring.drift_report(
         monitoring.drift_values(split, features)))
     horizon, name = model
-    predictions = layers.get("failure_predictions").filter(
+    predictions = layers.get("failure_predictions", since=calendar.calibration_end).filter(
         (F.col("horizon") == horizon) & (F.col("model") == name))
     layers.report("weekly_model_monitoring", monitoring.weekly_monitoring(
         split.filter(F.col("side") == "production"), predictions))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from check_oracle import compare, duck
 from gaugeflow.config import CSV_COLUMNS
-from gaugeflow.operators import anomaly, models
+from gaugeflow.operators import anomaly, labels, models
 from gaugeflow.plans.eventlog import CALENDAR, EventLogStudy
 from gaugeflow.plans.layers import run_all
 from gaugeflow.session import shared_folder
@@ -58,6 +58,13 @@ def test_every_layer_is_written(spark):
     plan = layers.get("sensor_anomaly_features", since=CALENDAR.calibration_end
                       )._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
+    windows = labels.lookback_windows(layers.get("failure_events").filter("event_id = 2"), 24)
+    near = layers.during("sensor_anomaly_features", windows, "window_start", "start_time")
+    days = {d for r in windows.collect() for d in (r["window_start"].date(), r["start_time"].date())}
+    assert {r[0] for r in near.select(F.to_date("minute_timestamp")).distinct().collect()} <= days
+    assert near.count() == layers.get("sensor_anomaly_features").filter(
+        F.to_date("minute_timestamp").isin(days)).count() > 0
+    assert "dynamicpruning" in near._jdf.queryExecution().executedPlan().toString()
 
 
 @needs_data
