@@ -45,8 +45,12 @@ _LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MAX_LETTERS)
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters, in lower case. Numerals such as ½ and ² are no letters."""
+    found = _LETTERS.findall((text or "").lower())
+    if all(w.isalpha() for w in found):
+        return found
+    # the pattern takes numerals that are no digits for letters
+    return _LETTERS.findall("".join(c if c.isalpha() else " " for c in text.lower()))
 
 
 def vocabulary_pieces(path: str = VOCABULARY) -> list[str]:
