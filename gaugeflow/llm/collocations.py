@@ -39,6 +39,8 @@ SEGMENT_GRAMS = 1 << 21
 # bits of a membership table: per member, and at most
 MEMBER_BITS, MOST_MEMBER_BITS = 16, 28
 ATTEMPTS = 16
+# parts of a language whose best phrases are found first
+RANK_PARTS = 64
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes.maketrans(
@@ -380,8 +382,13 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the best of a language are among the best of its parts, so no task orders a whole language
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    best = every.withColumn("_part", part).withColumn("rank", F.row_number().over(
+        W.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(
+        W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     totals = words.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"))
     return best.join(totals, F.col("lang") == F.col("_lang")).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

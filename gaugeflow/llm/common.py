@@ -40,8 +40,19 @@ def words(text: Column) -> Column:
 
 
 def row_key(seed: int, *columns: Column) -> Column:
-    """A hash by which rows are ordered at random; equal for rows equal in the columns."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns]))
+    """A hash by which rows are ordered at random; equal only for rows equal in the columns.
+
+    Every value goes in with its length, a NULL as N, so that no two rows are spelt alike.
+    """
+    values = [c.cast("string") for c in columns]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(
+        F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("N")) for v in values]))
+
+
+def key_sql(seed: int, *columns: str) -> str:
+    """``row_key`` in SQL."""
+    return f"md5(concat_ws('|', '{seed}', " + ", ".join(
+        f"coalesce(length({c}) || ':' || {c}, 'N')" for c in columns) + "))"
 
 
 def attach(docs: DataFrame, placed: DataFrame, key: Column, key_column: str, within: list[str],

@@ -16,7 +16,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from gaugeflow.llm.common import attach, free_name, row_key, total_before, words, written
+from gaugeflow.llm.common import (attach, free_name, key_sql, row_key, total_before, words,
+                                  written)
 
 MAX_REPETITION = 4.0
 TARGET_ENTROPY = 0.95
@@ -180,7 +181,7 @@ def oracle() -> str:
 
     return rf"""
 WITH RECURSIVE lengths AS (
-  SELECT doc_id, source, md5(concat_ws('|', '1', CAST(doc_id AS VARCHAR), source, text)) AS k,
+  SELECT doc_id, source, {key_sql(1, "CAST(doc_id AS VARCHAR)", "source", "text")} AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n
   FROM documents),
 totals AS (SELECT source, sum(n) AS n FROM lengths GROUP BY source),

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeflow.llm.common import attach, free_name, row_key, total_before, written
+from gaugeflow.llm.common import attach, free_name, key_sql, row_key, total_before, written
 from gaugeflow.llm.mixing import token_count
 
 BUCKETS = 16
@@ -147,7 +147,7 @@ layer{k} AS MATERIALIZED (
     ends_of = " UNION ALL ".join(f"SELECT j FROM end{k}" for k in range(1, BUCKETS + 1))
     return rf"""
 WITH lengths AS (
-  SELECT doc_id, md5(concat_ws('|', '1', CAST(doc_id AS VARCHAR), text)) AS k,
+  SELECT doc_id, {key_sql(1, "CAST(doc_id AS VARCHAR)", "text")} AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n
   FROM documents),
 cells AS (
