@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gaugeflow.session import settle, shared_folder
 
 BUCKETS = 256
+CELL_VALUES = 4096
 SKETCH_ACCURACY = 10_000
 # quantiles: half a bracket's first width as a share of the values, the cells into which it is cut
 # again, and the values that are counted one by one per bracket
@@ -35,7 +36,7 @@ def below(cuts: Column, value: Column, buckets: int) -> Column:
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], *,
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """One row per distinct (keys, value) with running sums in value order.
 
     For each name in ``sums`` the result holds the sum at that value (``name``),
@@ -43,21 +44,23 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[st
     (``total_name``).
 
     Rows collapse to distinct values on the map side first, so repeated values
-    cost nothing.  Values are cut into ranges at approximate quantiles of all
-    distinct values, and each range again into as many cells, so a cell holds
-    about one in ``buckets ** 2`` of them.  The running sum restarts per cell; the
+    cost nothing; these are written, as they are used more than once.  Values are cut
+    into ranges at approximate quantiles of all distinct values, and each range again into
+    as many cells, so a cell holds about one in ``buckets ** 2`` of them (by default about
+    ``CELL_VALUES``, up to ``BUCKETS`` ranges).  The running sum restarts per cell; the
     sums of the earlier cells of the range and of the earlier ranges are added.  The
     cut points only balance the work and never change the result, and no window
     over ranges or cells has more than ``buckets`` rows of a key.
     """
-    distinct = df.groupBy(*keys, value).agg(*[f.alias(name) for name, f in sums.items()])
+    distinct = _stored(df.groupBy(*keys, value).agg(*[f.alias(name) for name, f in sums.items()]))
+    buckets = buckets or min(BUCKETS, max(2, math.isqrt(distinct.count() // CELL_VALUES)))
     shares, v = [i / buckets for i in range(1, buckets)], F.col(value)
     cuts = distinct.agg(F.percentile_approx(value, shares, 2_000).alias("cuts")).scalar()
     ranged = (distinct.withColumn("_cuts", cuts)
               .withColumn("_range", below(F.col("_cuts"), v, buckets)).drop("_cuts"))
     inner = ranged.groupBy("_range").agg(F.percentile_approx(value, shares, 2_000).alias("_cuts"))
-    celled = (ranged.join(F.broadcast(inner), "_range")  # a row per range
-              .withColumn("_cell", below(F.col("_cuts"), v, buckets)).drop("_cuts"))
+    celled = _stored(ranged.join(F.broadcast(inner), "_range")  # a row per range
+                     .withColumn("_cell", below(F.col("_cuts"), v, buckets)).drop("_cuts"))
 
     def before(n: str, part: Sequence[str], order: str) -> Column:
         w = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
