@@ -7,21 +7,15 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeflow.config import (ALERT_LEVELS, ASSET, COST_SCENARIOS, EARLY_MODEL, MINUTE,
-                              NEAR_MODEL, RISK_ACTIONS, CostScenario)
+from gaugeflow.config import (ALERT_LEVELS, ASSET, COST_SCENARIOS, EARLY_MODEL, MEDIUM_SCORE,
+                              MINUTE, NEAR_MODEL, PRIORITY_WEIGHTS, RISK_ACTIONS,
+                              RISK_PERCENTILE, SENSOR_COLUMNS, SIGNAL_LABELS, CostScenario)
 from gaugeflow.functions.expr import (clip, first_largest, hours_between, lookup,
                                       threshold_component)
 from gaugeflow.operators.intervals import match_intervals
 from gaugeflow.operators.labels import lookback_windows
 from gaugeflow.session import local_table
 
-SENSOR_COLUMNS = (
-    "anomaly_score", "anomaly_percentile", "anomaly_flag", "oil_temperature_mean",
-    "oil_temp_long_trend", "motor_current_mean", "motor_current_avg_6h",
-    "motor_current_std_6h", "tp3_mean", "tp3_avg_6h", "reservoirs_mean", "reservoir_avg_6h",
-    "flowmeter_mean", "flow_deviation_6h", "failure_next_24h",
-)
-
 
 def select_predictions(alerts: DataFrame, pair: tuple[str, str], prefix: str,
                        keys: Sequence[str] = (ASSET, MINUTE)) -> DataFrame:
@@ -55,15 +49,17 @@ def add_components(fused: DataFrame) -> DataFrame:
     })
 
 
-def add_priority(df: DataFrame, early: float = 0.45, near: float = 0.35,
-                 anomaly: float = 0.20) -> DataFrame:
+def add_priority(df: DataFrame, early: float = PRIORITY_WEIGHTS[0],
+                 near: float = PRIORITY_WEIGHTS[1],
+                 anomaly: float = PRIORITY_WEIGHTS[2]) -> DataFrame:
     """Weighted composite on a 0-100 scale, one decimal, half-even."""
     score = (F.lit(early) * F.col("early_component") + F.lit(near) * F.col("near_component")
              + F.lit(anomaly) * F.col("anomaly_component")) * 100
     return df.withColumn("maintenance_priority_score", F.bround(clip(score, 0.0, 100.0), 1))
 
 
-def add_risk_level(df: DataFrame, percentile: float = 95.0, score: float = 45.0) -> DataFrame:
+def add_risk_level(df: DataFrame, percentile: float = RISK_PERCENTILE,
+                   score: float = MEDIUM_SCORE) -> DataFrame:
     """The first rule that holds decides."""
     abnormal = F.col("anomaly_percentile") >= percentile
     early = F.col("early_warning_alert") == 1
@@ -82,13 +78,11 @@ def add_action(df: DataFrame) -> DataFrame:
 def add_primary_signal(df: DataFrame) -> DataFrame:
     """The largest absolute deviation, in raw units; ties go to the first listed."""
     c = F.col
-    return df.withColumn("primary_warning_signal", first_largest([
-        ("Motor current instability", F.abs(c("motor_current_mean") - c("motor_current_avg_6h"))),
-        ("Airflow deviation", F.abs(c("flow_deviation_6h"))),
-        ("Oil temperature trend", F.abs(c("oil_temp_long_trend"))),
-        ("TP3 pressure deviation", F.abs(c("tp3_mean") - c("tp3_avg_6h"))),
-        ("Reservoir pressure deviation", F.abs(c("reservoirs_mean") - c("reservoir_avg_6h"))),
-    ]))
+    sizes = (c("motor_current_mean") - c("motor_current_avg_6h"), c("flow_deviation_6h"),
+             c("oil_temp_long_trend"), c("tp3_mean") - c("tp3_avg_6h"),
+             c("reservoirs_mean") - c("reservoir_avg_6h"))
+    return df.withColumn("primary_warning_signal", first_largest(
+        [(label, F.abs(size)) for label, size in zip(SIGNAL_LABELS, sizes)]))
 
 
 def decide(fused: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gaugeflow.config import ASSET, DRIFT_FEATURES, MINUTE
+from gaugeflow.config import ASSET, DRIFT_FEATURES, DRIFT_STATUS, MINUTE
 from gaugeflow.functions.expr import truncate
 from gaugeflow.operators.prefix import exact_quantiles, prefix_sums
 from gaugeflow.operators.prep import long_values
@@ -205,9 +205,8 @@ def monitoring_status(drift: DataFrame) -> DataFrame:
                           for level in ("High", "Moderate", "Stable")])
     high, moderate = F.col("high_features"), F.col("moderate_features")
     return counted.withColumn("monitoring_status", (
-        F.when(high >= 3, "Retraining review recommended")
-        .when(high >= 1, "Investigate feature drift")
-        .when(moderate >= 3, "Monitor closely").otherwise("Stable")))
+        F.when(high >= 3, DRIFT_STATUS[0]).when(high >= 1, DRIFT_STATUS[1])
+        .when(moderate >= 3, DRIFT_STATUS[2]).otherwise(DRIFT_STATUS[3])))
 
 
 def weekly_monitoring(production: DataFrame, predictions: DataFrame,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gaugeflow.config import ASSET, MINUTE
+from gaugeflow.config import ASSET, DRIFT_COLUMNS, MINUTE, MODEL_COLUMNS
 from gaugeflow.functions.expr import lookup, shift_hours
 from gaugeflow.operators.decisions import first_useful_warning, savings
 from gaugeflow.operators.episodes import episode_summary
@@ -74,13 +74,6 @@ def rounded(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
         for c in columns])
 
 
-MODEL_COLUMNS = ("horizon", "model", "pr_auc", "roc_auc", "precision", "recall", "f1",
-                 "false_alert_rate_percent", "failure_window_alert_percent",
-                 "first_warning_hours")
-DRIFT_COLUMNS = ("feature", "baseline_mean", "production_mean", "psi", "drift_level",
-                 "ks_statistic")
-
-
 def model_table(comparison: DataFrame) -> DataFrame:
     return rounded(comparison, MODEL_COLUMNS, 3)
 

@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeflow.config import (ANOMALY_FEATURES, ASSET, DRIFT_FEATURES, EARLY_MODEL,
-                              FAILURE_FEATURES, MINUTE, RANGED, READING_TIME, TARGETS,
-                              ZSCORE_SIGNALS)
+                              FAILURE_FEATURES, MINUTE, RANGED, READING_TIME, SENSOR_COLUMNS,
+                              TARGETS, ZSCORE_SIGNALS)
 from gaugeflow.operators import (aggregate, anomaly, attribution, decisions, episodes,
                                  intervals, labels, metrics, models, monitoring, prep,
                                  profile, rolling, trees, validation, views)
@@ -30,7 +30,7 @@ TARGET_COLUMNS = tuple(TARGETS.values())
 HEALTH_COLUMNS = ("failure_active", "failure_next_24h", "post_failure_24h")
 MODEL_ROWS = ("modelling", (*FAILURE_FEATURES, *TARGET_COLUMNS))
 LINEAR_ROWS = ("modelling", (*ANOMALY_FEATURES, *TARGET_COLUMNS))
-DECISION_ROWS = ("modelling", (*decisions.SENSOR_COLUMNS, *TARGET_COLUMNS))
+DECISION_ROWS = ("modelling", (*SENSOR_COLUMNS, *TARGET_COLUMNS))
 PREDICTION_ROWS = ("modelling", TARGET_COLUMNS)
 DRIFT_ROWS = ("modelling", (*DRIFT_FEATURES, "failure_next_24h"))
 WEEKLY_ROWS = ("modelling", ("anomaly_score", "anomaly_percentile", *TARGET_COLUMNS))

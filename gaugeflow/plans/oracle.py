@@ -10,8 +10,7 @@ import re
 
 from gaugeflow.config import (ANALOG, ANOMALY_FEATURES, COST_SCENARIOS, DIGITAL,
                               DRIFT_FEATURES, EARLY_MODEL, FAILURE_FEATURES, MINUTE_STATS, NEAR_MODEL,
-                              RISK_ACTIONS, SIGNALS, TARGETS, ZSCORE_SIGNALS)
-from gaugeflow.operators.decisions import SENSOR_COLUMNS
+                              RISK_ACTIONS, SENSOR_COLUMNS, TARGETS, ZSCORE_SIGNALS)
 from gaugeflow.operators.rolling import (BY_ALIAS, DEVIATION_SIGNALS, PERIOD_AVERAGES,
                                          RANGE_COLUMNS, TREND_SIGNALS, rolling_spec)
 from gaugeflow.plans.catalog import LINEAR_WEIGHTS, RANGED
