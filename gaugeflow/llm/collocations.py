@@ -30,9 +30,9 @@ MAX_WORDS, MIN_COUNT, TOP = 3, 10, 2000
 INSIDE_PERCENT = 50
 SEED = 42
 # bounds of what a task holds: distinct words, n-grams waiting, n-grams in filters, bytes split at once
-HELD_WORDS = 1 << 18
-HELD_GRAMS = 1 << 19
-HELD_ENTRIES = 1 << 20
+HELD_WORDS = 1 << 17
+HELD_GRAMS = 1 << 18
+HELD_ENTRIES = 1 << 19
 SPLIT_BYTES = 1 << 20
 # occurrences of n-grams per merged segment
 SEGMENT_GRAMS = 1 << 21
