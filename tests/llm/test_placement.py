@@ -109,7 +109,8 @@ def test_mixture_equals_brute_force(frame, target, limit, budget):
             own = []
             for (i, source, text, *_), size in zip(rows, lengths):
                 if source == s:
-                    key = "|".join(x for x in ("1", str(i), source, text) if x is not None)
+                    key = "|".join(["1", *("N" if x is None else f"{len(x)}:{x}"
+                                           for x in (str(i), source, text))])
                     key = hashlib.md5(key.encode()).hexdigest()
                     own.append((hashlib.md5(f"{key}:{epoch}".encode()).hexdigest(), i, size))
             at = epoch * n
