@@ -196,6 +196,53 @@ def test_histograms_of_many_tasks_are_judged_in_tasks(spark, rows, model, monkey
     assert len(found.nodes) > found.getNumTrees
 
 
+@pytest.mark.parametrize("model", [trees.Boosting(maxIter=3, maxDepth=3),
+                                   trees.Forest(numTrees=3, maxDepth=4)])
+def test_tasks_that_report_to_the_driver_do_not_follow_the_rows(spark, rows, model, monkeypatch):
+    context, keys = spark.sparkContext, ("asset_id", "minute_timestamp")
+    batches = rows.repartition(25).sortWithinPartitions("minute_timestamp").cache()
+    batches.count()
+
+    def tasks(rows_per_block):
+        monkeypatch.setattr(trees, "ROWS_PER_BLOCK", rows_per_block)
+        group = f"blocks-of-{rows_per_block}-{type(model).__name__}"
+        context.setJobGroup(group, group)
+        try:
+            fitted = model.fit(batches, FEATURES, "y", keys)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        status = context.statusTracker()
+        return fitted, sum(status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup(group)
+                           for s in status.getJobInfo(j).stageIds if status.getStageInfo(s))
+
+    (few, of_few), (many, of_many) = tasks(125), tasks(20)  # 4 and 25 blocks
+    assert of_many <= of_few
+    assert few.nodes[["tree", "node", "feature", "threshold"]].equals(
+        many.nodes[["tree", "node", "feature", "threshold"]])
+
+
+def test_blocks_hold_all_rows_once_whatever_the_partitions(spark, rows, monkeypatch):
+    monkeypatch.setattr(trees, "ROWS_PER_BLOCK", 60)
+    cuts = trees.fit_cuts(rows, FEATURES, 255)
+    seen = set()
+    for parts in (rows.repartition(25), rows.coalesce(1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+        try:
+            blocks = trees.as_blocks(parts, FEATURES, "y", ("asset_id", "minute_timestamp"), cuts)
+            found = blocks.glom().collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            blocks.unpersist()
+        assert len(found) == spark.sparkContext.defaultParallelism and all(found)
+        flat = [b for part in found for b in part]
+        assert len(flat) > len(found) and max(len(b.label) for b in flat) <= 60
+        keys = np.concatenate([b.row for b in flat])
+        assert len(keys) == rows.count() == len(set(keys.tolist()))
+        seen.add(frozenset(zip(keys.tolist(), map(bytes, np.concatenate([b.bins for b in flat])),
+                               np.concatenate([b.label for b in flat]).tolist())))
+    assert len(seen) == 1
+
+
 def test_rows_of_one_block_need_no_job_per_pass(spark):
     rows = spark.range(60_000, numPartitions=2).select(
         "id", *[(F.xxhash64("id", F.lit(c)) % 9).cast("double").alias(c) for c in FEATURES]
